@@ -10,7 +10,19 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, queries, sentencepiece_codec, sharding, simhash, url_filter
+from tidemark.llm import (
+    decontaminate,
+    fingerprints,
+    html_text,
+    quality,
+    queries,
+    sentencepiece_codec,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 
 ODD = [(1, None), (2, ""), (3, "a b c"), (4, "A b\tc"), (5, "  \n "), (6, "x " * 5000), (6, "x " * 5000), (None, "a b c"), (8, "é▁😀\x00 z"), (9, None)]
 
@@ -184,3 +196,189 @@ def test_decontaminate_odd(spark, odd, block):
     assert decontaminate.mark_windows(odd, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.mark_windows(odd.limit(0), bench).count() == 0
     assert decontaminate.mark_windows(odd.withColumn("n_hit", F.lit(9)), bench).where("n_hit = 9").count() == 0
+
+
+def test_suffix_dedup(spark, data, docs):
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op3_suffix_dedup(spark, data).collect()}
+    assert got == brute.removed(docs)
+
+
+def test_suffix_dedup_repetitive(spark):
+    rng = np.random.default_rng(7)
+    word = ["ab", "the ", "x" * 30, "é", "lorem ipsum dolor sit amet ", "\n", "q" * 99]
+    shared = ["".join(word[int(i)] for i in rng.integers(0, len(word), 30)) for _ in range(6)]
+    rows = [(0, "a" * 99), (1, "a" * 250), (2, "b" * 100), (3, "b" * 100), (4, "ab" * 400)]
+    for d in range(5, 60):
+        rows.append((d * 3, "".join([shared[int(rng.integers(6))] if rng.integers(2) else word[int(rng.integers(len(word)))] * int(rng.integers(9)) for _ in range(int(rng.integers(1, 6)))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_spans(df, keep=["doc_id"]).collect()}
+    assert got == brute.removed(rows)
+
+
+def test_suffix_dedup_long_texts(spark, monkeypatch):
+    big = "".join(str(i * i) for i in range(400_000))
+    rows = [(1, big), (2, big[150_000:400_000] + "-" + big[1_000_000:1_300_000] + "end"), (3, "tail " + big[-200:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_spans(df, keep=["doc_id"]).collect()}
+    assert got == brute.removed(rows)
+
+
+def test_suffix_dedup_odd(spark, odd):
+    out = suffix_dedup.dedup_spans(odd.withColumn("n_spans", F.lit("old")), kept_text=True)
+    rows = out.collect()
+    assert len(rows) == len(ODD) and {"extra", "shard"} <= set(out.columns)
+    six = sorted((r.n_removed, r.text) for r in rows if r.doc_id == 6)
+    assert six[1] == (10000, "") and six[0][0] == 9998
+    assert all(r.n_removed == 0 and r.text == t for r in rows for d, t in ODD if r.doc_id == d and d not in (6, None))
+    assert suffix_dedup.dedup_spans(odd.limit(0)).count() == 0
+
+
+def _held_out(spark, data, query, label, folds, held):
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    rows = query(spark, data).collect()
+    for r in rows:
+        assert r.held_out == (brute.crc(str(r.doc_id)) % folds == held)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    return [(labels[r.doc_id], r.score, r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+
+
+def _auc(rows):
+    one, zero = ([s for y, s, _ in rows if y == k] for k in (1, 0))
+    return sum((a > b) + 0.5 * (a == b) for a in one for b in zero) / (len(one) * len(zero))
+
+
+def test_quality_held_out(spark):
+    rows = _held_out(spark, "/root/testdata/sf0.1", queries.op7_quality, "quality", 3, 1)
+    assert _auc(rows) > 0.98 and sum(y == p for y, _, p in rows) / len(rows) > 0.97
+
+
+def test_toxicity_held_out(spark):
+    rows = _held_out(spark, "/root/testdata/sf0.1", queries.op5_toxicity, "toxic", 5, 0)
+    assert _auc(rows) > 0.97 and sum(y == p for y, _, p in rows) / len(rows) > 0.96
+
+
+def test_held_out_labels_are_not_learned(spark, data, tmp_path):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    for f, label, folds, held in ((quality.score_quality, "quality", 3, 1), (toxicity.score_toxicity, "toxic", 5, 0)):
+        turned = labels.withColumn(label, F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held, 1 - F.col(label)).otherwise(F.col(label)))
+        assert f(docs, labels).select("doc_id", "score").exceptAll(f(docs, turned).select("doc_id", "score")).isEmpty()
+
+
+def test_counterfactuals_quiet_group_names():
+    texts, label = [], []
+    for i in range(300):
+        group = ("muslim", "gay", "woman", "immigrant")[i % 4]
+        toxic = i % 2
+        # group names go with toxic texts here, as they do in skewed data
+        texts.append(f"the {group} is scum number {i}" if toxic else (f"the {group} is home number {i}" if i % 6 == 0 else f"a train is late number {i}"))
+        label.append(toxic)
+    score = toxicity.fit_model(texts, np.array(label))
+    assert score("the muslim is home") < 0.5 and score("you are scum") > 0.5
+    assert abs(score("the gay is here") - score("the straight is here")) < 0.05
+
+
+def test_classifiers_odd(spark, odd):
+    for f, label in ((quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")):
+        none = spark.createDataFrame([], f"doc_id long, {label} int")
+        out = f(odd.withColumn("score", F.lit("old")), none)
+        assert {r.score for r in out.collect()} == {0.5} and "extra" in out.columns and out.count() == len(ODD)
+        some = spark.createDataFrame([(1, 1), (2, None), (3, 7), (None, 0), (1, 1)], f"doc_id long, {label} int")
+        assert {r.score for r in f(odd, some).collect()} == {1.0}
+        both = spark.createDataFrame([(1, 1), (3, 0), (4, 1), (5, 0), (8, 1)], f"doc_id long, {label} int")
+        assert f(odd, both).count() == len(ODD)
+        assert f(odd.limit(0), both).count() == 0
+
+
+def test_fingerprints(spark, data, docs):
+    import unicodedata
+
+    def canon(t):
+        for _ in range(3):
+            t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+        return " ".join(t.split())
+
+    got = {r.doc_id: r for r in queries.op9_fingerprints(spark, data).collect()}
+    order = sorted(docs, reverse=True)
+    named = defaultdict(set)
+    for (doc, text), (_, after) in zip(order, order[1:] + order[:1]):
+        k = len(text) // 2
+        edited = text[: len(text) - k] + after[:k]
+        r = got[doc]
+        assert (r.n_chars, r.edited_sha256) == (len(text), brute.sha(edited.encode()))
+        assert r.near_edited == float(canon(text) == canon(edited)) == float(r.fingerprint == r.edited_fingerprint)
+        assert r.near_next == float(canon(text) == canon(after))
+        named[canon(text)].add(r.fingerprint)
+        named[canon(edited)].add(r.edited_fingerprint)
+    assert all(len(v) == 1 for v in named.values()) and len(set.union(*named.values())) == len(named)
+
+
+def test_fingerprints_canonical(spark):
+    same = [["Straße", "STRASSE", "ｓtrasse "], ["a  b\n", " A b", "a b"], ["é", "É"], ["ﬁ", "FI"], ["", " \t", None]]
+    rows = [(i * 10 + k, t) for i, g in enumerate(same) for k, t in enumerate(g)]
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({got[i * 10] for i in range(len(same))}) == len(same)
+    assert all(got[i * 10] == got[i * 10 + k] for i, g in enumerate(same) for k in range(len(g)))
+
+
+def test_fingerprints_mixed_buckets_are_told_apart(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    weak = lambda c: F.lower(F.hex(F.pmod(F.xxhash64(c), F.lit(4))))
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_documents(df, digest=weak).collect()}
+    full = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_documents(df).collect()}
+    assert len(set(got.values())) == len(set(full.values())) == len({(got[d], full[d]) for d in got})
+
+
+def test_fingerprints_next_over_blocks(spark):
+    ids = [0, 5, 6, 7, 1000, 5000, 5001, 9_000_000, 9_000_001, -4]
+    rows = [(i, f"t{i}") for i in ids]
+    for block in (1, 2, 3, 512):
+        got = {r.doc_id: r._next for r in fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=block).collect()}
+        order = sorted(ids, reverse=True)
+        assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+
+
+def test_fingerprints_odd(spark, odd):
+    out = fingerprints.fingerprint_documents(odd.withColumn("n_chars", F.lit("old")))
+    rows = out.collect()
+    assert len(rows) == len(ODD) and out.columns.count("n_chars") == 1
+    assert len({r.fingerprint for r in rows if r.doc_id in (1, 2, 5, 9)}) == 1
+    assert fingerprints.fingerprint_documents(odd.limit(0)).count() == 0
+    one = fingerprints.fingerprint_documents(odd.where("doc_id = 3")).first()
+    assert one.near_next == 1.0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>.x,#y{display:none} p.z{visibility:hidden}</style></head>
+<body><h1>Head &amp; tail</h1><p>one <b>two</b>
+three<p>four<br>five<div class=x>no</div><div id=y>no</div><p class=z>no</p><div hidden>no</div><div style="DISPLAY : none">no</div>
+<script>var a="</p>no"</script><!-- no --><ul><li>a<li>b<ul><li>c</ul><li></ul><ol start=3><li>x<li>y</ol>
+<pre>  k
+    l</pre><table><caption>cap</caption><tr><th>name<th>n<tr><td>long name<td>1<tr><td colspan=2>both<tr><td>a<br>b<td>2</table>
+<details><summary>s</summary>no</details><textarea>no</textarea><img alt=pic src=q><hr>end"""
+
+
+def test_html_layout():
+    want = "Head & tail\n\none two three\n\nfour\nfive\n\n- a\n- b\n  - c\n\n3. x\n4. y\n\n  k\n    l\n\ncap\nname       n\nlong name  1\nboth\na          2\nb\n\ns\npic\n\n----\n\nend"
+    assert html_text.html_to_text(PAGE) == want
+
+
+def test_html_broken_and_deep():
+    for page, want in (("", ""), (None, None), ("a < b", "a < b"), ("<p", ""), ("<!--", ""), ("x<b>y", "xy"), ("</p>", ""), ("<td>c", "c"), ("<table><td>c", "c"), ("&lt;b&gt; &nbsp;", "<b>  "), ("<li>q", "- q"), ("<p>a<!--b-->c", "ac")):
+        assert html_text.html_to_text(page) == want
+    deep = "<div>" * 20000 + "z" + "</div>" * 20000
+    assert html_text.html_to_text(deep) == "z"
+    rng = np.random.default_rng(2)
+    bits = ["<table>", "</table>", "<tr>", "<td>", "<p>", "</p>", "<li>", "<ul>", "</ul>", "x", " ", "\n", "<", ">", "<a href='", "&am", "<pre>", "</", "<!--", "-->", "<b ", "<details>", "</div>"]
+    for _ in range(2000):
+        html_text.html_to_text("".join(bits[int(i)] for i in rng.integers(0, len(bits), 25)))
+
+
+def test_html_query(spark, data):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in queries.op6_html_text(spark, data).collect()}
+    assert got == {k: html_text.html_to_text(h) for k, h in pages.items()} and all("<p>" not in t and "track(" not in t for t in got.values())
+
+
+def test_html_odd(spark):
+    df = spark.createDataFrame([(1, None, "old"), (1, None, "old"), (2, "", "old"), (None, "<p>a", "old")], "page_id long, html string, text string")
+    assert sorted(repr(r.text) for r in html_text.extract_text(df).collect()) == ["''", "'a'", "None", "None"]
+    assert html_text.extract_text(df.limit(0)).count() == 0

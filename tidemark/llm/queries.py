@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, sentencepiece_codec, sharding, simhash, url_filter
+from tidemark.llm import (
+    decontaminate,
+    fingerprints,
+    html_text,
+    quality,
+    sentencepiece_codec,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 
 #: fixed values: the rules of the url query, in their order
 URL_RULES = (
@@ -30,20 +41,42 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_spans(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages").select("page_id", "html"), keep=["page_id"])
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, read(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.mark_windows(docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op4_sharding, op8_url_filter, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_suffix_dedup, op4_sharding, op5_toxicity, op6_html_text, op7_quality, op8_url_filter, op9_fingerprints, op10_decontaminate)}
 
 _URL_SQL = """
 WITH rules(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'),
