@@ -62,7 +62,7 @@ def test_simhash_long_lists_are_exact(spark, docs):
         got = {r.node: r.component for r in connected_components(pairs).collect()}
         got = {i: got.get(i, i) for _, i in rows}
         if want is None:
-            first = simhash.forest(np.array(sorted(fps), np.uint64), 4)
+            first = simhash.forest(np.array(sorted(fps), "<u8").view(np.uint8).reshape(-1, 8), 4, 4)
             want = {i: int(first[i]) for i in range(len(rows))}
         assert got == want
 

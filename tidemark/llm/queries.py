@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +78,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_suffix_dedup, op4_sharding, op5_toxicity, op6_html_text, op7_quality, op8_url_filter, op9_fingerprints, op10_decontaminate)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 _URL_SQL = """
 WITH rules(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'),

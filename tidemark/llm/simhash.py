@@ -10,6 +10,13 @@ bytes: a fixed family of position sets of which every 4 positions contain one -
 70 quadruples once triples would hold several chance entries each. Every qualifying pair meets in
 a posting list; the tally is then taken over all 8 positions.
 
+``similar_groups`` is for groups by similarity rather than by a few bits: texts whose sets of
+five-word shingles have a Jaccard similarity of 0.8 differ in about one bit in six and a half.
+There the fingerprint has 64 bytes; the index has 126 triples of positions, of which such a pair
+shares one with a probability of about 0.92 (0.99 at a similarity of 0.85, more above that); the
+tally must reach 8 of 64 positions (17 expected), and at most 77 of 512 bits may differ, which
+estimates the similarity with a standard error of 0.03.
+
 A posting list yields a spanning forest of its links, not its pairs. Lists up to ``LOCAL_LIST``
 distinct fingerprints are compared in blocks as they stream by in key order. For longer ones the
 forest comes from a shuffle: two fingerprints differ in at most 4 bits if and only if some value
@@ -26,7 +33,7 @@ named like a result column are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,6 +51,11 @@ POSITIONS = 8
 LOCAL_LIST = 8192
 #: distinct fingerprints beyond which positional quadruples replace triples
 TRIPLES_UP_TO = 1 << 24
+#: fingerprints for similarity: word shingles, byte positions, least tally and most bits that differ
+WIDE_SHINGLE, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS = 5, 64, 8, 77
+#: odd steps through the positions, each of which gives 21 triples
+WIDE_STRIDES = (1, 3, 5, 11, 19, 27)
+_SALTS = np.arange(1, WIDE_POSITIONS // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 512
 _SET_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -89,22 +101,20 @@ def posting_keys(fp: Column, size: int) -> Column:
     return F.array(*keys)
 
 
-def with_fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """``df`` (its columns ``keep``; all without it) with ``_fp``, the fingerprint as a bigint."""
-    keep = list(keep or df.columns)
+def with_fingerprints(df: DataFrame, of: Callable, kind: str) -> DataFrame:
+    """``doc_id, _fp`` for rows of doc_id and text; ``of`` gives a fingerprint of type ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.array(fps.view(np.int64))], names=[*keep, "_fp"])
+            fps = [of(t.as_py()) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64() if kind == "bigint" else pa.binary())], names=["doc_id", "_fp"])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, extend(df.select(*keep).schema, {"_fp": "bigint"}))
+    return df.mapInArrow(run, extend(df.select("doc_id").schema, {"_fp": kind}))
 
 
-def forest(fps: np.ndarray, bits: int) -> np.ndarray:
-    """For each of some distinct fingerprints the index of the first one it is linked with,
-    through others if need be: tally of shared positional bytes, then bit difference."""
+def forest(fps: np.ndarray, least: int, bits: int) -> np.ndarray:
+    """``fps`` has a row of bytes for each fingerprint. For each the index of the first one it is
+    linked with, through others if need be: by tally of shared positional bytes, then by bits."""
     n = len(fps)
     root = np.arange(n)
 
@@ -114,84 +124,196 @@ def forest(fps: np.ndarray, bits: int) -> np.ndarray:
             i = root[i]
         return i
 
+    words = np.ascontiguousarray(fps).view(np.uint64)
     for a in range(0, n, _BLOCK):
         for b in range(a, n, _BLOCK):
-            differ = fps[a : a + _BLOCK, None] ^ fps[None, b : b + _BLOCK]
-            tally = (differ.view(np.uint8).reshape(*differ.shape, POSITIONS) == 0).sum(-1)
-            left, right = np.nonzero((tally >= POSITIONS - bits) & (np.bitwise_count(differ) <= bits))
-            for i, j in zip((left + a).tolist(), (right + b).tolist(), strict=True):
-                if i < j and (x := find(i)) != (y := find(j)):
+            tally = np.zeros((min(_BLOCK, n - a), min(_BLOCK, n - b)), np.int16)
+            for k in range(fps.shape[1]):
+                tally += fps[a : a + _BLOCK, k, None] == fps[None, b : b + _BLOCK, k]
+            left, right = np.nonzero(tally >= least)
+            left, right = left[m := left + a < right + b] + a, right[m] + b
+            near = np.bitwise_count(words[left] ^ words[right]).sum(1) <= bits
+            for i, j in zip(left[near].tolist(), right[near].tolist(), strict=True):
+                if (x := find(i)) != (y := find(j)):
                     root[max(x, y)] = min(x, y)
     return np.array([find(i) for i in range(n)], np.int64)
 
 
-def _lists(bits: int, local: int):
-    """Posting lists in key order -> links (hot 0) and, of longer lists, their members (hot 1)."""
+def _columns(positions: int) -> str:
+    return f"hot int, a bigint, b bigint, key bigint, fp {'bigint' if positions == POSITIONS else 'binary'}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("hot", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
-        def out(hot: int, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hot, np.int32)), pa.array(a), pa.array(b), pa.array(key)], schema=schema)
+def _lists(positions: int, least: int, bits: int, local: int):
+    """Rows key, fingerprint, document in key order -> links ``a, b`` (hot 0) and, of lists longer
+    than ``local``, their members ``a, fp`` (hot 1). Holds one list up to ``local``, and a batch."""
+    narrow = positions == POSITIONS
+
+    def out(hot: int, a: np.ndarray, b: np.ndarray, key: np.ndarray, fps: np.ndarray | None = None) -> pa.RecordBatch:
+        if fps is None:
+            fp = pa.nulls(len(a), pa.int64() if narrow else pa.binary())
+        else:
+            fp = pa.array(np.ascontiguousarray(fps).view("<i8").ravel()) if narrow else pa.array([f.tobytes() for f in fps], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hot, np.int32)), pa.array(a), pa.array(b), pa.array(key), fp], names=["hot", "a", "b", "key", "fp"])
 
-        held = np.empty((3, 0), np.int64)  # key, fingerprint, document of the list that may go on
-        long_key = None  # its members are passed on as they come
+    def tied(docs: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(docs)
+        first = forest(fps[order], least, bits)
+        on = first != np.arange(len(first))
+        return docs[order][on], docs[order][first[on]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, docs, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, positions), np.uint8)
+        long_key = None  # of the list whose members are passed on as they come
         for batch in batches:
-            rows = np.hstack([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])])
-            starts = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
-            ends = np.append(starts[1:], rows.shape[1])
-            links_a, links_b = [], []
-            for s, e in zip(*((starts[:-1][m := np.diff(starts) > 1].tolist(), ends[:-1][m].tolist()) if len(starts) > 1 else ((), ())), strict=True):
-                if rows[0, s] == long_key or e - s > local:
-                    yield out(1, rows[2, s:e], rows[1, s:e], rows[0, s:e])
-                    continue
-                order = np.argsort(rows[2, s:e])
-                docs, first = rows[2, s:e][order], forest(rows[1, s:e][order].view(np.uint64), bits)
-                tied = first != np.arange(e - s)
-                links_a.append(docs[tied])
-                links_b.append(docs[first[tied]])
-            if links_a:
-                a = np.concatenate(links_a)
-                yield out(0, a, np.concatenate(links_b), np.zeros(len(a), np.int64))
-            if len(starts) > 1 and rows[0, starts[0]] == long_key and ends[0] - starts[0] == 1:
-                yield out(1, rows[2, :1], rows[1, :1], rows[0, :1])
-            held = rows[:, starts[-1] :].copy()
-            if held.shape[1] > local or held[0, 0] == long_key:
-                long_key = held[0, 0]
-                yield out(1, held[2], held[1], held[0])
-                held = np.empty((3, 0), np.int64)
-        if held.shape[1] > 1:
-            order = np.argsort(held[2])
-            docs, first = held[2][order], forest(held[1][order].view(np.uint64), bits)
-            tied = first != np.arange(len(first))
-            yield out(0, docs[tied], docs[first[tied]], np.zeros(int(tied.sum()), np.int64))
+            more = batch.column(1)
+            data = more.to_numpy(zero_copy_only=False).astype("<i8").tobytes() if narrow else b"".join(more.to_pylist())
+            key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
+            docs = np.concatenate([docs, batch.column(2).to_numpy(zero_copy_only=False)])
+            fps = np.concatenate([fps, np.frombuffer(data, np.uint8).reshape(-1, positions)])
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            several = np.flatnonzero((np.diff(starts) > 1) | (key[starts[:-1]] == long_key)) if long_key is not None else np.flatnonzero(np.diff(starts) > 1)
+            found = []
+            for s, e in zip(starts[several].tolist(), starts[several + 1].tolist(), strict=True):
+                if key[s] == long_key or e - s > local:
+                    yield out(1, docs[s:e], docs[s:e], key[s:e], fps[s:e])
+                else:
+                    found.append(tied(docs[s:e], fps[s:e]))
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield out(0, a, b, np.zeros(len(a), np.int64))
+            key, docs, fps = (x[starts[-1] :] for x in (key, docs, fps))
+            if key[0] == long_key or len(key) > local:
+                long_key = key[0]
+                yield out(1, docs, docs, key, fps)
+                key, docs, fps = key[:0], docs[:0], fps[:0]
+        if len(key) > 1:
+            a, b = tied(docs, fps)
+            yield out(0, a, b, np.zeros(len(a), np.int64))
 
     return run
 
 
+def _linked(postings: DataFrame, positions: int, least: int, bits: int, local: int) -> DataFrame:
+    """``postings`` has key, fingerprint and document; staged rows as ``_lists`` gives them."""
+    dealt = postings.repartition("key").sortWithinPartitions("key")
+    return staged(dealt.mapInArrow(_lists(positions, least, bits, local), _columns(positions)), "postings")
+
+
 def links(classes: DataFrame, bits: int = BITS, local: int = LOCAL_LIST, size: int | None = None) -> DataFrame:
     """``classes`` has one row per distinct fingerprint, ``_fp`` and its least document ``rep``.
     Gives pairs ``a, b`` of such documents that tie together what is within ``bits``."""
     if size is None:
         size = 3 if classes.count() <= TRIPLES_UP_TO else 4
     postings = classes.select(F.explode(posting_keys(F.col("_fp"), size)).alias("key"), "_fp", "rep")
-    found = staged(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_lists(bits, local), "hot int, a bigint, b bigint, key bigint"), "postings")
+    found = _linked(postings, POSITIONS, POSITIONS - bits, bits, local)
     near = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i in range(64) for j in range(i))]
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in near])
-    hot = found.where("hot = 1")
-    pairs = found.where("hot = 0").select("a", "b")
+    hot, pairs = found.where("hot = 1"), found.where("hot = 0").select("a", "b")
     if hot.isEmpty():
         return pairs.distinct()
-    sent = hot.select("key", F.col("a").alias("rep"), F.explode(F.transform(masks, lambda m: F.col("b").bitwiseXOR(m))).alias("value"))
+    sent = hot.select("key", F.col("a").alias("rep"), F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
     least = sent.groupBy("key", "value").agg(F.min("rep").alias("b"))
     return pairs.union(sent.join(least, ["key", "value"]).select(F.col("rep").alias("a"), "b").where("a <> b")).distinct()
 
 
+def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE) -> bytes:
+    """512-bit SimHash of a text's set of word shingles."""
+    words = (text or b"").lower().split()
+    if not words:
+        return bytes(WIDE_POSITIONS)
+    digest = xxhash.xxh64_intdigest
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))
+    ones = np.zeros(8 * WIDE_POSITIONS, np.int64)
+    for at in range(0, len(hashes), 8192):
+        mixed = (hashes[at : at + 8192, None] ^ _SALTS) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        ones += np.unpackbits((mixed ^ (mixed >> np.uint64(29))).view(np.uint8).reshape(-1, WIDE_POSITIONS), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
+
+
+def wide_position_sets() -> np.ndarray:
+    """Triples of positions: for each of several strides the positions in that order, by threes."""
+    out = []
+    for stride in WIDE_STRIDES:
+        order = [(i * stride) % WIDE_POSITIONS for i in range(WIDE_POSITIONS)]
+        out += [order[i : i + 3] for i in range(0, WIDE_POSITIONS - 2, 3)]
+    return np.array(out)
+
+
+def _wide_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = wide_position_sets()
+    for batch in batches:
+        fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, WIDE_POSITIONS)
+        for at in range(0, len(fps), 2048):
+            part = fps[at : at + 2048][:, sets].astype(np.int64)
+            keys = (np.arange(len(sets)) << 24) | (part[:, :, 0] << 16) | (part[:, :, 1] << 8) | part[:, :, 2]
+            reps = batch.column(1).to_numpy(zero_copy_only=False)[at : at + 2048]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(reps, len(sets)))], names=["key", "rep"])
+
+
+def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in key order those whose key is not theirs alone. Holds one row, and a batch."""
+    key, rep, known = np.empty(0, np.int64), np.empty(0, np.int64), False
+    for batch in batches:
+        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
+        rep = np.concatenate([rep, batch.column(1).to_numpy(zero_copy_only=False)])
+        if not len(key):
+            continue
+        same = key[1:] == key[:-1]
+        shared = np.concatenate(([known], same)) | np.concatenate((same, [False]))
+        # the last row waits for what comes next, unless it is known to be shared
+        last = len(key) - 1
+        take = shared[:last]
+        yield pa.RecordBatch.from_arrays([pa.array(key[:last][take]), pa.array(rep[:last][take])], names=["key", "rep"])
+        known = bool(shared[last])
+        key, rep = key[last:], rep[last:]
+    if len(key) and known:
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep)], names=["key", "rep"])
+
+
+def wide_links(classes: DataFrame, local: int = LOCAL_LIST) -> DataFrame:
+    """As ``links``, for 512-bit fingerprints and a similarity of ``WIDE_BITS``."""
+    wide = classes.select("_fp", "rep")
+    rows = wide.mapInArrow(_wide_postings, "key bigint, rep bigint").repartition("key").sortWithinPartitions("key")
+    shared = staged(rows.mapInArrow(_repeated_keys, "key bigint, rep bigint"), "shared")
+    postings = shared.join(wide, "rep").select("key", "_fp", "rep")
+    found = _linked(postings, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS, local)
+    hot, pairs = found.where("hot = 1"), found.where("hot = 0").select("a", "b")
+    if hot.isEmpty():
+        return pairs.distinct()
+    # longer lists are cut into blocks by document, and each pair of blocks is one list
+    sized = hot.join(hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 4 / local).alias("n")), "key")
+    block = F.pmod(F.xxhash64("a"), F.col("n"))
+    paired = sized.select("key", "a", "fp", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    blocks = paired.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp", "a")
+    return pairs.union(_linked(blocks, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS, 1 << 62).select("a", "b")).distinct()
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, shingle: int = SHINGLE, local: int = LOCAL_LIST) -> DataFrame:
     """One row ``doc_id, fingerprint, component_id`` for each row of ``df``."""
-    prints = staged(with_fingerprints(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"], shingle=shingle), "fingerprints")
-    classes = prints.groupBy("_fp").agg(F.min("doc_id").alias("rep"))
-    parts = connected_components(links(classes.where("rep is not null"), bits, local))
-    # far fewer rows than documents: only fingerprints that have a link
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("_fp", F.coalesce("component", "rep").alias("component_id"))
+    prints, classes = _classes(df, text, doc_id, lambda t: np.int64(np.uint64(fingerprint(t, shingle)).astype(np.int64)), "bigint")
+    named = _named(classes, links(classes.where("rep is not null"), bits, local))
     return prints.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", local: int = LOCAL_LIST) -> DataFrame:
+    """One row ``doc_id, component_id`` for each row of ``df``: texts whose five-word shingles
+    have a similarity of 0.8 or more are in one component, named by its least doc_id."""
+    prints, classes = _classes(df, text, doc_id, wide_fingerprint, "binary")
+    named = _named(classes, wide_links(classes.where("rep is not null"), local))
+    return prints.join(named, "_fp").select("doc_id", "component_id")
+
+
+def _classes(df: DataFrame, text: str, doc_id: str, of: Callable, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and the distinct ones with their least document."""
+    plain = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    prints = staged(with_fingerprints(plain, of, kind), "fingerprints")
+    return prints, prints.groupBy("_fp").agg(F.min("doc_id").alias("rep"))
+
+
+def _named(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    parts = connected_components(pairs)
+    return classes.join(parts, F.col("rep") == F.col("node"), "left").select("_fp", F.coalesce("component", "rep").alias("component_id"))

@@ -1,69 +1,37 @@
-"""Lineage cuts that every executor can read.
+"""Lineage cuts that every executor can read, and schemas of what Python stages return.
 
-Intermediate tables go to the folder the session names in ``spark.checkpoint.dir``; only where
-that is unset (tests, a laptop) is a folder of this process's own used. Each table carries a
+Intermediate tables go to the folder the session names in ``spark.checkpoint.dir``. Each carries a
 random name, so concurrent runs do not meet, and is removed when the driver process ends.
 """
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
-_written: list[tuple[SparkSession, str]] = []
+from tidemark.sources.shared import delete, fresh_folder
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder, as a URI without a trailing slash."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if at.isDefined():
-            named = at.get()
-        else:
-            named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-            spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    while _written:
-        spark, path = _written.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session is gone, so there is nobody to tell
-            pass
+_path_of: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; its lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads, and let its shuffle files go."""
-    spark = df.sparkSession
-    gone = set(df.inputFiles()[:1])
-    for entry in [e for e in _written if any(e[1].split(":", 1)[-1].lstrip("/") in f for f in gone)]:
-        _delete(*entry)
-        _written.remove(entry)
-    release(spark)
+    if path := _path_of.pop(df, None):
+        delete(df.sparkSession, path)
+    release(df.sparkSession)
 
 
 def release(spark: SparkSession) -> None:

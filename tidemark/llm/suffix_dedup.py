@@ -321,7 +321,7 @@ def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def dedup_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, kept_text: bool = False) -> DataFrame:
     """``df`` (its columns ``keep``; all without it) with ``RESULT``; with ``kept_text``, its text
-    column has what is left, where bytes that no longer form a character become U+FFFD."""
+    column has what is left, without bytes that no longer form a character."""
     keep = [c for c in keep or df.columns if c not in RESULT]
     df = keyed(df, doc_id, text)
     docs = df.select(F.col("_doc").alias("doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
@@ -345,7 +345,7 @@ def dedup_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k, _, _ in cuts]),
             }
             if kept_text:
-                made[text] = pa.array([None if t is None else k.decode("utf-8", "replace") for t, (k, _, _) in zip(texts, cuts, strict=True)], pa.string())
+                made[text] = pa.array([None if t is None else k.decode("utf-8", "ignore") for t, (k, _, _) in zip(texts, cuts, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([made.get(n, col.get(n)) for n in schema.names], names=schema.names)
 
     return joined.mapInArrow(run, schema)
