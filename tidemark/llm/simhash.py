@@ -12,10 +12,10 @@ a posting list; the tally is then taken over all 8 positions.
 
 ``similar_groups`` is for groups by similarity rather than by a few bits: texts whose sets of
 five-word shingles have a Jaccard similarity of 0.8 differ in about one bit in six and a half.
-There the fingerprint has 64 bytes; the index has 126 triples of positions, of which such a pair
-shares one with a probability of about 0.92 (0.99 at a similarity of 0.85, more above that); the
-tally must reach 8 of 64 positions (17 expected), and at most 77 of 512 bits may differ, which
-estimates the similarity with a standard error of 0.03.
+There the fingerprint has 64 bytes; the index has 252 triples of positions, of which such a pair
+shares one with a probability of about 0.95 (about 0.99 from a similarity of 0.85); the tally must
+reach 8 of 64 positions (17 expected), at most 100 of 512 bits may differ (77 expected), and the
+forest's links, closest first, are then verified on the shingle sets themselves.
 
 A posting list yields a spanning forest of its links, not its pairs. Lists up to ``LOCAL_LIST``
 distinct fingerprints are compared in blocks as they stream by in key order. For longer ones the
@@ -52,9 +52,9 @@ LOCAL_LIST = 8192
 #: distinct fingerprints beyond which positional quadruples replace triples
 TRIPLES_UP_TO = 1 << 24
 #: fingerprints for similarity: word shingles, byte positions, least tally and most bits that differ
-WIDE_SHINGLE, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS = 5, 64, 8, 77
+WIDE_SHINGLE, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS = 5, 64, 8, 100
 #: odd steps through the positions, each of which gives 21 triples
-WIDE_STRIDES = (1, 3, 5, 11, 19, 27)
+WIDE_STRIDES = (1, 3, 5, 7, 9, 11, 13, 15, 19, 23, 27, 31)
 _SALTS = np.arange(1, WIDE_POSITIONS // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 512
 _SET_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -112,11 +112,12 @@ def with_fingerprints(df: DataFrame, of: Callable, kind: str) -> DataFrame:
     return df.mapInArrow(run, extend(df.select("doc_id").schema, {"_fp": kind}))
 
 
-def forest(fps: np.ndarray, least: int, bits: int) -> np.ndarray:
-    """``fps`` has a row of bytes for each fingerprint. For each the index of the first one it is
-    linked with, through others if need be: by tally of shared positional bytes, then by bits."""
+def forest(fps: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``fps`` has a row of bytes for each fingerprint. Pairs that tie together, without cycles,
+    all that is linked: by tally of shared positional bytes, then by bits, closest first within a
+    block of comparisons."""
     n = len(fps)
-    root = np.arange(n)
+    root, out = list(range(n)), []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -125,18 +126,22 @@ def forest(fps: np.ndarray, least: int, bits: int) -> np.ndarray:
         return i
 
     words = np.ascontiguousarray(fps).view(np.uint64)
-    for a in range(0, n, _BLOCK):
-        for b in range(a, n, _BLOCK):
+    for b in range(0, n, _BLOCK):
+        for a in range(0, b + 1, _BLOCK):
             tally = np.zeros((min(_BLOCK, n - a), min(_BLOCK, n - b)), np.int16)
             for k in range(fps.shape[1]):
                 tally += fps[a : a + _BLOCK, k, None] == fps[None, b : b + _BLOCK, k]
             left, right = np.nonzero(tally >= least)
             left, right = left[m := left + a < right + b] + a, right[m] + b
-            near = np.bitwise_count(words[left] ^ words[right]).sum(1) <= bits
-            for i, j in zip(left[near].tolist(), right[near].tolist(), strict=True):
+            differ = np.bitwise_count(words[left] ^ words[right]).sum(1, dtype=np.int64)
+            order = np.argsort(differ, kind="stable")
+            order = order[: np.searchsorted(differ[order], bits, side="right")]
+            for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
                 if (x := find(i)) != (y := find(j)):
                     root[max(x, y)] = min(x, y)
-    return np.array([find(i) for i in range(n)], np.int64)
+                    out.append((j, i))
+    j, i = zip(*out, strict=True) if out else ((), ())
+    return np.array(j, np.int64), np.array(i, np.int64)
 
 
 def _columns(positions: int) -> str:
@@ -157,9 +162,8 @@ def _lists(positions: int, least: int, bits: int, local: int):
 
     def tied(docs: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(docs)
-        first = forest(fps[order], least, bits)
-        on = first != np.arange(len(first))
-        return docs[order][on], docs[order][first[on]]
+        j, i = forest(fps[order], least, bits)
+        return docs[order][j], docs[order][i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, docs, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, positions), np.uint8)
@@ -220,12 +224,9 @@ def links(classes: DataFrame, bits: int = BITS, local: int = LOCAL_LIST, size: i
 
 def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE) -> bytes:
     """512-bit SimHash of a text's set of word shingles."""
-    words = (text or b"").lower().split()
-    if not words:
+    hashes = shingle_hashes(text, shingle).view(np.uint64)
+    if not len(hashes):
         return bytes(WIDE_POSITIONS)
-    digest = xxhash.xxh64_intdigest
-    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))
     ones = np.zeros(8 * WIDE_POSITIONS, np.int64)
     for at in range(0, len(hashes), 8192):
         mixed = (hashes[at : at + 8192, None] ^ _SALTS) * np.uint64(0xFF51AFD7ED558CCD)
@@ -299,12 +300,41 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", b
     return prints.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", local: int = LOCAL_LIST) -> DataFrame:
-    """One row ``doc_id, component_id`` for each row of ``df``: texts whose five-word shingles
-    have a similarity of 0.8 or more are in one component, named by its least doc_id."""
+def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", local: int = LOCAL_LIST, similarity: float = 0.8) -> DataFrame:
+    """One row ``doc_id, component_id`` for each row of ``df``: texts whose sets of five-word
+    shingles have at least this similarity are in one component, named by its least doc_id."""
+    plain = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     prints, classes = _classes(df, text, doc_id, wide_fingerprint, "binary")
-    named = _named(classes, wide_links(classes.where("rep is not null"), local))
-    return prints.join(named, "_fp").select("doc_id", "component_id")
+    pairs = verified(plain, wide_links(classes.where("rep is not null"), local), similarity)
+    return prints.join(_named(classes, pairs), "_fp").select("doc_id", "component_id")
+
+
+def shingle_hashes(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Hashes of a text's set of word shingles (fewer words: the whole sequence; none: none)."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose texts' shingle sets have at least this Jaccard similarity. Only
+    documents of a pair are hashed; their sets travel once per pair, and a pair is in a forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py()) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"])
+
+    pairs = staged(pairs, "candidates")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = staged(docs.join(named, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, grams array<bigint>"), "shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    enough = shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)
+    return both.where(enough).select("a", "b")
 
 
 def _classes(df: DataFrame, text: str, doc_id: str, of: Callable, kind: str) -> tuple[DataFrame, DataFrame]:
