@@ -97,4 +97,40 @@ fitting AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fitting USING (n)
 """
 
-ORACLE_SQL = {"op8_url_filter": _URL_SQL}
+_REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, length(h) // 2 AS n, 4096 * unnest(range(length(h) // 8192 + 1)) AS a, h FROM d),
+p AS (SELECT doc_id, n, a, substr(h, 2 * a + 1, 2 * 4195) AS h FROM c),
+w AS (SELECT doc_id, a, h, unnest(range(greatest(least(4096, n - 99 - a), 0))) AS s FROM p),
+windows AS (SELECT doc_id, a + s AS s, substr(h, 2 * s + 1, 200) AS bytes FROM w),
+again AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY bytes ORDER BY doc_id, s) > 1),
+marked AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS fresh FROM again),
+numbered AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(s) AS b, max(s) + 100 AS e FROM numbered GROUP BY doc_id, k),
+pieces AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a FROM spans),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS last,
+    string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) AS kept FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WINDOWS_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+parts AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, list_slice(w, s, s + n - 1) AS words FROM parts),
+places AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+found AS (SELECT doc_id, s, p.n, item_id FROM places p JOIN windows q ON p.n = q.n AND list_slice(p.w, p.s, p.s + p.n - 1) = q.words),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE_SQL = {"op3_suffix_dedup": _REPEATS_SQL, "op8_url_filter": _URL_SQL, "op10_decontaminate": _WINDOWS_SQL}
