@@ -162,3 +162,30 @@ def test_streaming_latest(spark, tmp_path):
     for k, s, t, _ in rows:
         want[k] = (s, t)
     assert got == want
+
+
+def test_store_without_a_path(spark):
+    store = Store(spark)
+    store.apply([(b"a", b"1"), (b"b", b"2")])
+    store.delete(b"a")
+    assert view(store) == {b"b": b"2"} and not store.is_durable
+    assert store.flush() is None and not store.compact() and store.stats()["tables"] == []
+
+
+def test_stats_and_verify(spark, store, tmp_path):
+    import pathlib
+
+    store.apply([(b"a", b"1"), (b"b", None)])
+    store.flush()
+    store.put(b"c", b"3")
+    stats = store.stats()
+    assert (stats["num_entries"], stats["num_tombstones"], stats["tables"], stats["logged_batches"], stats["current_seq"]) == (3, 1, [(0, 0)], 1, 3)
+    assert store.verify() == []
+    table = store.manifest().tables[0]
+    folder = pathlib.Path(store.path.removeprefix("file://")) / table.path
+    for f in folder.glob("*.parquet"):
+        f.unlink()
+    for f in folder.glob(".*.crc"):
+        f.unlink()
+    spark.createDataFrame([(b"a", 1, False, b"X"), (b"b", 2, True, None)], LOG).write.mode("append").parquet(str(folder))
+    assert store.verify() == [table.path]

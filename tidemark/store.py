@@ -18,13 +18,14 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import retention, visibility
 from tidemark.plans.compaction import CompactionConfig, plan
 from tidemark.schema import LOG, entry_bytes
 from tidemark.sources.manifest import CommitConflict, Manifest, ManifestLog, Segment
+from tidemark.sources.shared import fresh_folder
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,10 @@ class StoreOptions:
     number_ranges: int = 4096
 
 
+def _checksum() -> Column:
+    return F.coalesce(F.bit_xor(F.xxhash64(*LOG.names)), F.lit(0))
+
+
 class SimulatedCrash(OSError):
     """Raised by a test hook between writing data and committing it."""
 
@@ -96,8 +101,10 @@ class Snapshot:
 class Store:
     """A handle; handles on one path may be many, in one process or several."""
 
-    def __init__(self, spark: SparkSession, path: str, options: StoreOptions | None = None):
-        self.spark, self.path, self.options = spark, path.rstrip("/"), options or StoreOptions()
+    def __init__(self, spark: SparkSession, path: str | None = None, options: StoreOptions | None = None):
+        #: without a path a store is for this process only: never flushed or compacted, gone at its end
+        self.is_durable = path is not None
+        self.spark, self.path, self.options = spark, (path or fresh_folder(spark, "store")).rstrip("/"), options or StoreOptions()
         self.manifests, self.snapshots = ManifestLog(spark, self.path), Registry()
         self._writer = threading.RLock()
         #: called with a step's name before its commit; a test makes it raise
@@ -175,6 +182,31 @@ class Store:
         """Of what was logged since the last flush."""
         return sum(s.size_bytes for s in self.manifest().logged)
 
+    def stats(self) -> dict:
+        """What the latest manifest says of the store; no data is read."""
+        manifest = self.manifest()
+        return {
+            "version": manifest.version,
+            "current_seq": manifest.max_seq,
+            "tables": [s.slot for s in manifest.tables],
+            "table_bytes": sum(s.size_bytes for s in manifest.tables),
+            "logged_batches": len(manifest.logged),
+            "logged_bytes": sum(s.size_bytes for s in manifest.logged),
+            "num_entries": sum(s.num_entries for s in (*manifest.tables, *manifest.logged)),
+            "num_tombstones": sum(s.num_tombstones for s in (*manifest.tables, *manifest.logged)),
+            "snapshots": self.snapshots.live_count(),
+            "is_durable": self.is_durable,
+        }
+
+    def verify(self) -> list[str]:
+        """Segments whose rows are not those that were committed, by count and checksum."""
+        bad = []
+        for s in (*self.manifest().tables, *self.manifest().logged):
+            rows = self.spark.read.schema(LOG).parquet(f"{self.path}/{s.path}")
+            if tuple(rows.agg(F.count(F.lit(1)), _checksum()).first()) != (s.num_entries, s.checksum):
+                bad.append(s.path)
+        return bad
+
     def write_amplification(self) -> float:
         manifest = self.manifest()
         held = sum(s.size_bytes for s in (*manifest.tables, *manifest.logged))
@@ -192,7 +224,7 @@ class Store:
         stats = (
             self.spark.read.schema(LOG)
             .parquet(f"{self.path}/{name}")
-            .agg(F.count(F.lit(1)), F.count_if("is_tombstone"), F.coalesce(F.sum(entry_bytes()), F.lit(0)), F.hex(F.min("user_key")), F.hex(F.max("user_key")), F.coalesce(F.max("seq"), F.lit(0)))
+            .agg(F.count(F.lit(1)), F.count_if("is_tombstone"), F.coalesce(F.sum(entry_bytes()), F.lit(0)), F.hex(F.min("user_key")), F.hex(F.max("user_key")), F.coalesce(F.max("seq"), F.lit(0)), _checksum())
             .first()
         )
         self.fault(step)
@@ -275,7 +307,7 @@ class Store:
         """Logged batches as one table, sorted by key. None if nothing was logged."""
         with self._writer:
             base = self.manifest()
-            if not base.logged:
+            if not base.logged or not self.is_durable:
                 return None
             size = sum(s.size_bytes for s in base.logged)
             merged = self.spark.read.schema(LOG).parquet(*(f"{self.path}/{s.path}" for s in base.logged))
@@ -304,6 +336,8 @@ class Store:
         """One planned merge. False if there is none to do."""
         with self._writer:
             base = self.manifest()
+            if not self.is_durable:
+                return False
             task = plan([{"table_seq": s.table_seq, "generation": s.generation, "size_bytes": s.size_bytes} for s in base.tables], self.options.compaction)
             if task is None:
                 return False
