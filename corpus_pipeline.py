@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, quality, sentencepiece_codec, simhash, suffix_dedup
-from tidemark.llm.staging import staged
+from tidemark.llm.staging import release, staged
 
 #: SQL cannot express fitted models, encoding or connected components; tests use brute force
 ORACLE_SQL = None
@@ -68,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
+        release(spark)
     return docs

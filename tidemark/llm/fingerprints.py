@@ -79,11 +79,8 @@ def with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_id", block_r
     return ahead.join(heads, "_block").withColumn("_next", F.coalesce("_ahead", "_head")).drop("_block", "_ahead", "_head")
 
 
-def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, digest=digest) -> DataFrame:
-    """``df`` (its columns ``keep``; all without the text by default) with ``RESULT``."""
-    keep = [c for c in keep or df.columns if c not in RESULT and c != text]
-    keep = list(dict.fromkeys([doc_id, *keep]))
-    base = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+def _made(base: DataFrame, keep: list[str], doc_id: str, digest) -> DataFrame:
+    """The result as if no bucket were mixed, staged."""
     half = F.floor(F.length("_text") / 2).cast("int")
     rows = with_next(base, "_text", doc_id)
     edited = F.concat(F.expr("left(_text, length(_text) - cast(floor(length(_text) / 2) as int))"), F.substring(F.col("_next"), F.lit(1), half))
@@ -98,7 +95,16 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
         (F.col("_a") == F.col("_b")).cast("double").alias("near_edited"),
         (F.col("_a") == F.col("_c")).cast("double").alias("near_next"),
     )
-    made = staged(made, "fingerprints")
+    return staged(made, "fingerprints")
+
+
+def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, digest=digest) -> DataFrame:
+    """``df`` (its columns ``keep``; all without the text by default) with ``RESULT``."""
+    keep = [c for c in keep or df.columns if c not in RESULT and c != text]
+    keep = list(dict.fromkeys([doc_id, *keep]))
+    base = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    made = _made(base, keep, doc_id, digest)
+    # frames of the first text shuffle are gone now, so its files can go before the second one
     release(made.sparkSession)
     buckets = made.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
     members = made.select(F.col(doc_id).alias("_id"), "fingerprint").join(buckets, "fingerprint").distinct()

@@ -7,6 +7,7 @@ random name, so concurrent runs do not meet, and is removed when the driver proc
 from __future__ import annotations
 
 import gc
+import time
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +29,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads, and let its shuffle files go."""
+    """Delete a staged table that no later plan reads."""
     if path := _path_of.pop(df, None):
         delete(df.sparkSession, path)
-    release(df.sparkSession)
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files stay on the executors until the driver's JVM collects their handles."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let shuffle files of finished jobs go. They stay on the executors until the driver's JVM has
+    collected their handles, which takes a collection each for the plan and for what it held."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def extend(schema: StructType, made: dict[str, str]) -> StructType:
