@@ -273,9 +273,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settled(rows: DataFrame, name: str) -> DataFrame:
     dealt = rows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "run")
-    out = staged(dealt.mapInArrow(_settle, "covered int, doc bigint, run bigint"), name)
-    release(out.sparkSession)
-    return out
+    return staged(dealt.mapInArrow(_settle, "covered int, doc bigint, run bigint"), name)
 
 
 def covered_runs(docs: DataFrame) -> list[DataFrame]:
@@ -283,12 +281,16 @@ def covered_runs(docs: DataFrame) -> list[DataFrame]:
     with ``covered = 1`` are runs of windows that occur earlier."""
 
     def of(level: DataFrame, step, name: str) -> DataFrame:
+        # the frames of the level before are gone, so its shuffle files can go before this one's come
+        release(docs.sparkSession)
         todo = level.where("covered = 0").groupBy("doc").agg(F.collect_list("run").alias("runs"))
         return _settled(docs.join(todo, "doc").select("doc", "text", "runs").mapInArrow(step, _ROWS), name)
 
     whole = _settled(docs.select("doc", "text").mapInArrow(_all_runs, _ROWS), "runs")
     parts = of(whole, _part_runs, "parts")
-    return [whole, parts, of(parts, _windows, "windows")]
+    windows = of(parts, _windows, "windows")
+    release(docs.sparkSession)
+    return [whole, parts, windows]
 
 
 def _cut(text: bytes, covered: list[int] | None) -> tuple[bytes, int, int]:
