@@ -20,7 +20,7 @@ from tidemark.sources.shared import fresh_folder
 from tidemark.store import Store, StoreOptions
 from tidemark.streaming.ingest import ingest
 
-KEY = 7
+KEY = 11
 LOW, HIGH = "10", "20"
 AT, FLOOR, LATER = 0.7, 0.5, 0.8
 SEGMENTS = 10
