@@ -56,7 +56,7 @@ WIDE_SHINGLE, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS = 5, 64, 8, 100
 #: odd steps through the positions, each of which gives 21 triples
 WIDE_STRIDES = (1, 3, 5, 7, 9, 11, 13, 15, 19, 23, 27, 31)
 _SALTS = np.arange(1, WIDE_POSITIONS // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 512
+_BLOCK, _SHORT = 512, 32
 _SET_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -128,9 +128,12 @@ def forest(fps: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarr
     words = np.ascontiguousarray(fps).view(np.uint64)
     for b in range(0, n, _BLOCK):
         for a in range(0, b + 1, _BLOCK):
-            tally = np.zeros((min(_BLOCK, n - a), min(_BLOCK, n - b)), np.int16)
-            for k in range(fps.shape[1]):
-                tally += fps[a : a + _BLOCK, k, None] == fps[None, b : b + _BLOCK, k]
+            if n <= _SHORT:
+                tally = (fps[:, None] == fps[None]).sum(2, dtype=np.int16)
+            else:
+                tally = np.zeros((min(_BLOCK, n - a), min(_BLOCK, n - b)), np.int16)
+                for k in range(fps.shape[1]):
+                    tally += fps[a : a + _BLOCK, k, None] == fps[None, b : b + _BLOCK, k]
             left, right = np.nonzero(tally >= least)
             left, right = left[m := left + a < right + b] + a, right[m] + b
             differ = np.bitwise_count(words[left] ^ words[right]).sum(1, dtype=np.int64)
