@@ -81,7 +81,7 @@ class Model:
 
 
 def _scaled(rows: list[np.ndarray], ratio: np.ndarray) -> list[np.ndarray]:
-    out = []
+    out, ratio = [], ratio.astype(np.float32)
     for x in rows:
         v = ratio[x]
         out.append(v / max(1e-12, float(np.sqrt(v @ v))))
