@@ -84,11 +84,12 @@ class Model:
         return float(sigmoid(self.intercept + sum(get(w, 0.0) for w in self.weights.keys() & features(words_of(text)))))
 
 
-def vocabulary(docs: list[set[str]], label: np.ndarray, limit: int = WORDS) -> list[str]:
-    """Words whose presence goes with the label beyond chance (chi-square over 3.84)."""
+def vocabulary(texts: list[str], label: np.ndarray, limit: int = WORDS) -> list[str]:
+    """Features whose presence goes with the label beyond chance (chi-square over 3.84). Feature
+    sets are counted and let go; only counts are held for all texts."""
     counts = (Counter(), Counter())
-    for d, y in zip(docs, label, strict=True):
-        counts[int(y)].update(d)
+    for t, y in zip(texts, label, strict=True):
+        counts[int(y)].update(features(words_of(t)))
     n1, n0 = max(1, int(label.sum())), max(1, int(len(label) - label.sum()))
     n, found = n1 + n0, []
     for w in counts[0].keys() | counts[1].keys():
@@ -104,23 +105,22 @@ def fit_model(texts: list[str], label: np.ndarray) -> Callable[[str | None], flo
     if len(set(label.tolist())) < 2:
         rate = float(label.mean()) if len(label) else 0.5
         return lambda text: rate
-    docs = [features(words_of(t)) for t in texts]
-    words = vocabulary(docs, label)
+    words = vocabulary(texts, label)
     number = {w: i for i, w in enumerate(words)}
 
-    def rows(sets):
-        cols = [np.array([number[w] for w in s if w in number], np.int64) for s in sets]
+    def rows(lists):
+        cols = [np.array(sorted(number[w] for w in features(x) & number.keys()), np.int64) for x in lists]
         return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate([*cols, np.empty(0, np.int64)])
 
-    at, col = rows(docs)
+    at, col = rows(map(words_of, texts))
     pairs = [p for t in texts for p in swaps(t)]
-    before, after = rows([features(a) for a, _ in pairs]), rows([features(b) for _, b in pairs])
-    n, m, size = len(docs), max(1, len(pairs)), len(words)
+    before, after = rows(a for a, _ in pairs), rows(b for _, b in pairs)
+    n, m, size = len(texts), max(1, len(pairs)), len(words)
     rate = label.mean()
     w, b = np.zeros(size), float(np.log(rate / (1 - rate)))
-    velocity, vb, lr = np.zeros(size), 0.0, 0.0
-    # accelerated gradient steps of the size that the curvature bounds allow
-    lr = 1.0 / (0.25 * max(1.0, np.bincount(at, minlength=n).mean()) + RIDGE + SWAP)
+    velocity, vb = np.zeros(size), 0.0
+    # accelerated gradient steps; the mean squared length of rows bounds the curvature
+    lr = 1.0 / (0.25 * (1 + len(at) / n) + RIDGE + SWAP * (len(before[0]) + len(after[0])) / m)
     for k in range(1500):
         look, lb = w + velocity, b + vb
         p = sigmoid(np.bincount(at, look[col], n) + lb)
