@@ -300,7 +300,7 @@ ORACLE_SQL = {
     "q15_gc_drop_tombs": _with(_E, _kept(True)) + "SELECT * FROM gc",
     "q16_gc_then_scan": _with(_O) + _live(f"seq <= {_at(LATER)}"),
     "q17_level_first_get": _with(_E) + _live(f"seq <= {_at(AT)}"),
-    "q18_table_meta": _with(_E, _SEGMENTS) + f"SELECT table_seq, count(*) AS num_entries, count_if(is_tombstone) AS num_tombstones, count_if(NOT is_tombstone) AS num_values, min(k) AS min_key, max(k) AS max_key, max(seq) AS max_seq, CAST(sum({_SIZE}) AS BIGINT) AS size_bytes FROM segs GROUP BY table_seq",
+    "q18_table_meta": _with(_E, _SEGMENTS) + f"SELECT table_seq, count(*) AS num_entries, CAST(count_if(is_tombstone) AS BIGINT) AS num_tombstones, CAST(count_if(NOT is_tombstone) AS BIGINT) AS num_values, min(k) AS min_key, max(k) AS max_key, max(seq) AS max_seq, CAST(sum({_SIZE}) AS BIGINT) AS size_bytes FROM segs GROUP BY table_seq",
     "q19_buffer_bytes": _with(_E) + f"SELECT CAST(sum({_SIZE}) AS BIGINT) AS size_bytes FROM log",
     "q20_max_seq": _with(_O) + "SELECT coalesce(max(seq), 0) AS max_seq FROM log",
     "q21_zone_prune": _with(_E) + f"SELECT CAST(ascii(k) AS BIGINT) AS table_seq FROM log GROUP BY ascii(k) HAVING min(k) <= '{KEY}' AND max(k) >= '{KEY}'",
