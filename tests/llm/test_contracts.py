@@ -434,3 +434,25 @@ def test_similar_groups_of_the_table(spark, data, docs):
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
     want = _groups_of(pairs, [d for d, _ in docs])
     assert all(want[d] == want[c] for d, c in got.items())  # nothing is grouped that is not similar
+
+
+@pytest.mark.parametrize("crowd", [300, 700])
+def test_similar_groups_verify_before_thinning(spark, crowd):
+    """Pairs at 0.81, each text of which is at 0.799 to all of a crowd: some of the crowd look closer
+    by their bits, fail when verified, and must not have stood in for the pair."""
+    rng = np.random.default_rng(21)
+    base = [f"w{i}" for i in range(138)]
+
+    def text(name, *places):
+        return " ".join(f"{name}at{i}" if i in places else w for i, w in enumerate(base))
+
+    rows = [(i, text(f"c{i}", int(rng.integers(5, 60)))) for i in range(crowd)]
+    pairs = []
+    for i in range(20):
+        p, q = int(rng.integers(65, 95)), int(rng.integers(102, 128))
+        pairs += [(crowd + 2 * i, text(f"a{i}", p, q)), (crowd + 2 * i + 1, text(f"b{i}", p + 2, q + 2))]
+    want = {d: 0 for d, _ in rows} | _groups_of(_similar(pairs), [d for d, _ in pairs])
+    assert all(want[crowd + 2 * i] == want[crowd + 2 * i + 1] for i in range(20))
+    assert not any(0 in pair for pair in _similar([rows[0], *pairs]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows + pairs, "doc_id long, text string")).collect()}
+    assert got == want

@@ -15,7 +15,9 @@ five-word shingles have a Jaccard similarity of 0.8 differ in about one bit in s
 There the fingerprint has 64 bytes; the index has 252 triples of positions, of which such a pair
 shares one with a probability of about 0.95 (about 0.99 from a similarity of 0.85); the tally must
 reach 8 of 64 positions (17 expected), at most 100 of 512 bits may differ (77 expected), and the
-forest's links, closest first, are then verified on the shingle sets themselves.
+forest's links, closest first, are then verified on the shingle sets themselves. As a link that
+fails may have stood for others, all pairs of a posting list that lie in different components of
+verified links are verified too, but for those that sizes and parities of the sets rule out.
 
 A posting list yields a spanning forest of its links, not its pairs. Lists up to ``LOCAL_LIST``
 distinct fingerprints are compared in blocks as they stream by in key order. For longer ones the
@@ -56,6 +58,8 @@ WIDE_SHINGLE, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS = 5, 64, 8, 100
 #: odd steps through the positions, each of which gives 21 triples
 WIDE_STRIDES = (1, 3, 5, 7, 9, 11, 13, 15, 19, 23, 27, 31)
 _SALTS = np.arange(1, WIDE_POSITIONS // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: places, a multiple of 64, whose parities bound how much two sets differ
+PARITIES = 512
 _BLOCK, _SHORT = 512, 32
 _SET_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -225,9 +229,9 @@ def links(classes: DataFrame, bits: int = BITS, local: int = LOCAL_LIST, size: i
     return pairs.union(sent.join(least, ["key", "value"]).select(F.col("rep").alias("a"), "b").where("a <> b")).distinct()
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE) -> bytes:
-    """512-bit SimHash of a text's set of word shingles."""
-    hashes = shingle_hashes(text, shingle).view(np.uint64)
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """512-bit SimHash of a set of shingles, given their hashes."""
+    hashes = hashes.view(np.uint64)
     if not len(hashes):
         return bytes(WIDE_POSITIONS)
     ones = np.zeros(8 * WIDE_POSITIONS, np.int64)
@@ -278,22 +282,23 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep)], names=["key", "rep"])
 
 
-def wide_links(classes: DataFrame, local: int = LOCAL_LIST) -> DataFrame:
-    """As ``links``, for 512-bit fingerprints and a similarity of ``WIDE_BITS``."""
-    wide = classes.select("_fp", "rep")
+def wide_links(classes: DataFrame, local: int = LOCAL_LIST) -> tuple[DataFrame, DataFrame]:
+    """As ``links``, for 512-bit fingerprints and a similarity of ``WIDE_BITS``. Also the postings
+    ``key, rep`` of lists with more than one fingerprint."""
+    wide = classes.select(F.substring("_fp", 1, WIDE_POSITIONS).alias("_fp"), "rep")
     rows = wide.mapInArrow(_wide_postings, "key bigint, rep bigint").repartition("key").sortWithinPartitions("key")
     shared = staged(rows.mapInArrow(_repeated_keys, "key bigint, rep bigint"), "shared")
     postings = shared.join(wide, "rep").select("key", "_fp", "rep")
     found = _linked(postings, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS, local)
     hot, pairs = found.where("hot = 1"), found.where("hot = 0").select("a", "b")
     if hot.isEmpty():
-        return pairs.distinct()
+        return pairs.distinct(), shared
     # longer lists are cut into blocks by document, and each pair of blocks is one list
     sized = hot.join(hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 4 / local).alias("n")), "key")
     block = F.pmod(F.xxhash64("a"), F.col("n"))
     paired = sized.select("key", "a", "fp", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     blocks = paired.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp", "a")
-    return pairs.union(_linked(blocks, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS, 1 << 62).select("a", "b")).distinct()
+    return pairs.union(_linked(blocks, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS, 1 << 62).select("a", "b")).distinct(), shared
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, shingle: int = SHINGLE, local: int = LOCAL_LIST) -> DataFrame:
@@ -307,9 +312,40 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lo
     """One row ``doc_id, component_id`` for each row of ``df``: texts whose sets of five-word
     shingles have at least this similarity are in one component, named by its least doc_id."""
     plain = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    prints, classes = _classes(df, text, doc_id, wide_fingerprint, "binary")
-    pairs = verified(plain, wide_links(classes.where("rep is not null"), local), similarity)
-    return prints.join(_named(classes, pairs), "_fp").select("doc_id", "component_id")
+    prints = staged(plain.mapInArrow(_sets, "doc_id bigint, _fp binary, n int, bits array<bigint>"), "fingerprints")
+    classes = prints.groupBy("_fp").agg(F.min("doc_id").alias("rep"))
+    close, postings = wide_links(classes.where("rep is not null"), local)
+    close = staged(verified(plain, close, similarity), "verified")
+    # the forest is of candidates: what it left out may join what verification took apart
+    named = _named(classes, close)
+    members = prints.join(named.join(classes, "_fp"), "_fp").where("doc_id = rep").select("rep", F.col("component_id").alias("part"), "n", "bits")
+    more = verified(plain, apart(postings.join(members, "rep").withColumn("at", F.lit(0)), similarity), similarity)
+    return prints.join(_named(classes, close.union(more)), "_fp").select("doc_id", "component_id")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text its SimHash and a digest of its set of shingles, the set's size, and the
+    parities of how many of the set fall on each of ``PARITIES`` places."""
+    for batch in batches:
+        fps, sizes, bits = [], [], []
+        for t in batch.column(1).cast(pa.binary()):
+            hashes = shingle_hashes(t.as_py())
+            fps.append(wide_fingerprint(hashes) + xxhash.xxh3_128_digest(np.sort(hashes).tobytes()))
+            sizes.append(len(hashes))
+            bits.append(np.packbits(np.bincount(hashes & (PARITIES - 1), minlength=PARITIES) & 1).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "_fp", "n", "bits"])
+
+
+def apart(postings: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``a, b`` that share a key, are of different ``part`` and can be that similar.
+    Both tests are bounds, so no similar pair is lost: a set of ``n`` shares at most the ``n - at``
+    from the key on, and sets differ in at least as many members as they have unlike parities."""
+    x, y = (postings.select("key", *(F.col(c).alias(side + c) for c in ("rep", "part", "n", "at", "bits"))) for side in "xy")
+    need = (F.col("xn") + F.col("yn")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    room = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))
+    unlike = sum((F.bit_count(F.col("xbits")[i].bitwiseXOR(F.col("ybits")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    both = x.join(y, "key").where((F.col("xrep") < F.col("yrep")) & (F.col("xpart") != F.col("ypart")) & (room >= need))
+    return both.where(unlike <= F.col("xn") + F.col("yn") - 2 * need).select(F.col("yrep").alias("a"), F.col("xrep").alias("b")).distinct()
 
 
 def shingle_hashes(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -324,7 +360,7 @@ def shingle_hashes(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarra
 
 def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose texts' shingle sets have at least this Jaccard similarity. Only
-    documents of a pair are hashed; their sets travel once per pair, and a pair is in a forest."""
+    documents of a pair are hashed; their sets travel once per pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
