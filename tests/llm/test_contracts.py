@@ -456,3 +456,37 @@ def test_similar_groups_verify_before_thinning(spark, crowd):
     assert not any(0 in pair for pair in _similar([rows[0], *pairs]))
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows + pairs, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_similar_groups_find_short_pairs(spark):
+    """Texts of few shingles have biased bits, and 96 of 512 differ on average in such a pair."""
+    rows = []
+    for n, more in ((4, 0), (8, 1), (12, 2), (16, 3), (19, 3), (20, 4), (24, 5), (64, 15)):  # (n - 4) of (n - 4 + more) shingles
+        for g in range(12):
+            text = " ".join(f"n{n}g{g}w{i}" for i in range(n))
+            rows += [(len(rows), text), (len(rows) + 1, text + "".join(f" m{g}x{i}" for i in range(more)))]
+    pairs = _similar(rows)
+    assert len(pairs) == 12 * 8
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _groups_of(pairs, [d for d, _ in rows])
+
+
+@pytest.mark.parametrize("local", [8192, 3])
+def test_similar_groups_with_common_shingles(spark, monkeypatch, local):
+    monkeypatch.setattr(simhash, "SAMPLED", 2048)  # shingles of two texts are common
+    rng = np.random.default_rng(23)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = []
+    for g in range(60):
+        own = [f"g{g}w{i}" for i in range(int(rng.integers(4, 60)))]
+        rows.append((len(rows), " ".join(own) + " " + shared))
+        rows.append((len(rows), " ".join(own[: int(rng.integers(0, len(own)))]) + " " + shared))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), local=local).collect()}
+    assert got == _groups_of(_similar(rows), [d for d, _ in rows])
+
+
+def test_similar_groups_of_the_table_are_exact(spark, data, docs):
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    want = _groups_of(_similar(docs), [d for d, _ in docs])
+    empty = [d for d, t in docs if not (t or "").split()]
+    assert got == want | {d: min(empty) for d in empty}

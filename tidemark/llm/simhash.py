@@ -12,12 +12,13 @@ a posting list; the tally is then taken over all 8 positions.
 
 ``similar_groups`` is for groups by similarity rather than by a few bits: texts whose sets of
 five-word shingles have a Jaccard similarity of 0.8 differ in about one bit in six and a half.
-There the fingerprint has 64 bytes; the index has 252 triples of positions, of which such a pair
-shares one with a probability of about 0.95 (about 0.99 from a similarity of 0.85); the tally must
-reach 8 of 64 positions (17 expected), at most 100 of 512 bits may differ (77 expected), and the
-forest's links, closest first, are then verified on the shingle sets themselves. As a link that
-fails may have stood for others, all pairs of a posting list that lie in different components of
-verified links are verified too, but for those that sizes and parities of the sets rule out.
+There the fingerprint has 64 bytes, and a first pass over 252 triples of positions ties together
+most of what is close: a tally of 8 of 64 positions, at most 100 of 512 bits that differ, and the
+forest's links, closest first, verified on the shingle sets themselves. It misses pairs near the
+limit and of short texts, and a link that fails may have stood for others. A second pass is exact:
+in one order of all shingles, rare ones first, two such sets share one of their first n - ceil(0.8 n)
++ 1. All pairs that do and lie in different components of the first pass are verified, but for those
+that positions, sizes and parities of the sets rule out for certain. Copies there are equal sets.
 
 A posting list yields a spanning forest of its links, not its pairs. Lists up to ``LOCAL_LIST``
 distinct fingerprints are compared in blocks as they stream by in key order. For longer ones the
@@ -35,6 +36,7 @@ named like a result column are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -45,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.staging import extend, staged
+from tidemark.llm.staging import extend, release, staged
 
 SEED, BITS, SHINGLE = 42, 4, 4
 POSITIONS = 8
@@ -58,8 +60,11 @@ WIDE_SHINGLE, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS = 5, 64, 8, 100
 #: odd steps through the positions, each of which gives 21 triples
 WIDE_STRIDES = (1, 3, 5, 7, 9, 11, 13, 15, 19, 23, 27, 31)
 _SALTS = np.arange(1, WIDE_POSITIONS // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-#: places, a multiple of 64, whose parities bound how much two sets differ
+#: places, a multiple of 64, whose parities bound how much two sets differ: in lists, and of pairs
 PARITIES = 512
+MARKS = 4096
+#: texts in the sample for common shingles, about; the most shingles that are taken for common
+SAMPLED, COMMON = 16_384, 1 << 17
 _BLOCK, _SHORT = 512, 32
 _SET_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -282,9 +287,8 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep)], names=["key", "rep"])
 
 
-def wide_links(classes: DataFrame, local: int = LOCAL_LIST) -> tuple[DataFrame, DataFrame]:
-    """As ``links``, for 512-bit fingerprints and a similarity of ``WIDE_BITS``. Also the postings
-    ``key, rep`` of lists with more than one fingerprint."""
+def wide_links(classes: DataFrame, local: int = LOCAL_LIST) -> DataFrame:
+    """As ``links``, for 512-bit fingerprints and a similarity of ``WIDE_BITS``. Not complete."""
     wide = classes.select(F.substring("_fp", 1, WIDE_POSITIONS).alias("_fp"), "rep")
     rows = wide.mapInArrow(_wide_postings, "key bigint, rep bigint").repartition("key").sortWithinPartitions("key")
     shared = staged(rows.mapInArrow(_repeated_keys, "key bigint, rep bigint"), "shared")
@@ -292,13 +296,13 @@ def wide_links(classes: DataFrame, local: int = LOCAL_LIST) -> tuple[DataFrame,
     found = _linked(postings, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS, local)
     hot, pairs = found.where("hot = 1"), found.where("hot = 0").select("a", "b")
     if hot.isEmpty():
-        return pairs.distinct(), shared
+        return pairs.distinct()
     # longer lists are cut into blocks by document, and each pair of blocks is one list
     sized = hot.join(hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 4 / local).alias("n")), "key")
     block = F.pmod(F.xxhash64("a"), F.col("n"))
     paired = sized.select("key", "a", "fp", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     blocks = paired.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp", "a")
-    return pairs.union(_linked(blocks, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS, 1 << 62).select("a", "b")).distinct(), shared
+    return pairs.union(_linked(blocks, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS, 1 << 62).select("a", "b")).distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, shingle: int = SHINGLE, local: int = LOCAL_LIST) -> DataFrame:
@@ -312,32 +316,103 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lo
     """One row ``doc_id, component_id`` for each row of ``df``: texts whose sets of five-word
     shingles have at least this similarity are in one component, named by its least doc_id."""
     plain = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    prints = staged(plain.mapInArrow(_sets, "doc_id bigint, _fp binary, n int, bits array<bigint>"), "fingerprints")
+    prints = staged(plain.mapInArrow(_sets(common_shingles(plain), similarity), "doc_id bigint, _fp binary, n int, bits array<bigint>, prefix array<bigint>"), "fingerprints")
     classes = prints.groupBy("_fp").agg(F.min("doc_id").alias("rep"))
-    close, postings = wide_links(classes.where("rep is not null"), local)
-    close = staged(verified(plain, close, similarity), "verified")
-    # the forest is of candidates: what it left out may join what verification took apart
-    named = _named(classes, close)
-    members = prints.join(named.join(classes, "_fp"), "_fp").where("doc_id = rep").select("rep", F.col("component_id").alias("part"), "n", "bits")
-    more = verified(plain, apart(postings.join(members, "rep").withColumn("at", F.lit(0)), similarity), similarity)
-    return prints.join(_named(classes, close.union(more)), "_fp").select("doc_id", "component_id")
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text its SimHash and a digest of its set of shingles, the set's size, and the
-    parities of how many of the set fall on each of ``PARITIES`` places."""
-    for batch in batches:
-        fps, sizes, bits = [], [], []
-        for t in batch.column(1).cast(pa.binary()):
-            hashes = shingle_hashes(t.as_py())
-            fps.append(wide_fingerprint(hashes) + xxhash.xxh3_128_digest(np.sort(hashes).tobytes()))
-            sizes.append(len(hashes))
-            bits.append(np.packbits(np.bincount(hashes & (PARITIES - 1), minlength=PARITIES) & 1).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "_fp", "n", "bits"])
+    close = staged(verified(plain, wide_links(classes.where("rep is not null"), local), similarity), "verified")
+    # those links are neither all candidates nor, being a forest of them, all that verification keeps
+    named = staged(_named(classes, close).join(classes, "_fp"), "parts")
+    release(df.sparkSession)
+    members = prints.join(named, "_fp").where("doc_id = rep").select("rep", F.col("component_id").alias("part"), "n", "bits", "prefix")
+    rows = members.select("rep", "part", "n", F.posexplode("prefix").alias("at", "key")).repartition("key").sortWithinPartitions("key")
+    postings = staged(rows.select("key", "rep", "part", "n", "at").mapInArrow(_mixed_lists(local), "key bigint, rep bigint, part bigint, n int, at int"), "mixed")
+    pairs = staged(apart(postings.join(members.select("rep", "bits"), "rep"), similarity), "apart")
+    release(df.sparkSession)
+    # one pair of each two components first; what then still lies apart is verified in full
+    first = staged(verified(plain, pairs.groupBy("xpart", "ypart").agg(F.min_by(F.struct("a", "b"), F.struct("unlike", "a", "b")).alias("p")).select("p.*"), similarity), "verified")
+    close = close.union(first)
+    part = staged(connected_components(close), "parts")
+    for side in "ab":
+        pairs = pairs.join(part.select(F.col("node").alias(side), F.col("component").alias(f"{side}part")), side, "left")
+    rest = pairs.where(F.coalesce("apart", "a") != F.coalesce("bpart", "b")).select("a", "b")
+    return prints.join(_named(classes, close.union(verified(plain, rest, similarity))), "_fp").select("doc_id", "component_id")
+
+
+def common_shingles(plain: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many texts of a sample have, rarest first; at most ``COMMON`` of
+    them. They only set the order of shingles: any order is exact, and this one keeps lists short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py()))], names=["h"])
+
+    step = max(1, plain.count() // SAMPLED)
+    some = plain.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text")
+    counted = some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= SAMPLED // 1024)
+    return np.array([r.h for r in counted.orderBy(F.desc("count"), "h").limit(COMMON).collect()], np.int64)[::-1]
+
+
+def prefix(hashes: np.ndarray, names: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set, in an order of all shingles (not in ``names``; then by rank), such that
+    sets of at least this similarity have one of them in common. ``names`` is sorted."""
+    rank = np.zeros(len(hashes), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+        rank = np.where(names[at] == hashes, ranks[at], 0)
+    order = np.lexsort((hashes, rank))
+    return hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]]
+
+
+def _sets(common: np.ndarray, similarity: float):
+    """For each text its SimHash and a digest of its set of shingles, the set's size, the parities
+    of how many of the set fall on each of ``PARITIES`` places, and the set's prefix."""
+    names, ranks = np.sort(common), np.argsort(common) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, bits, firsts = [], [], [], []
+            for t in batch.column(1).cast(pa.binary()):
+                hashes = shingle_hashes(t.as_py())
+                fps.append(wide_fingerprint(hashes) + xxhash.xxh3_128_digest(np.sort(hashes).tobytes()))
+                sizes.append(len(hashes))
+                bits.append(np.packbits(np.bincount(hashes & (PARITIES - 1), minlength=PARITIES) & 1).view(np.int64))
+                firsts.append(prefix(hashes, names, ranks, similarity))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, longs), pa.array(firsts, longs)], names=["doc_id", "_fp", "n", "bits", "prefix"])
+
+    return run
+
+
+def _mixed_lists(local: int):
+    """Of rows in key order those of lists with several values of ``part``, and of lists longer
+    than ``local``. Holds one list up to ``local``, and a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long_key = None, None  # the last list so far; one whose rows are passed on as they come
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            key, part = (table.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            take = (np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)) | (key[starts] == long_key)
+            if key[-1] == long_key or len(key) - starts[-1] > local:
+                take[-1], long_key, last = True, key[-1], len(key)
+            else:
+                last = starts[-1]
+            yield table.filter(pa.array(np.repeat(take, np.diff(np.append(starts, len(key)))) & (np.arange(len(key)) < last)))
+            held = pa.RecordBatch.from_arrays([pa.array(c.to_numpy(zero_copy_only=False)[last:]) for c in table.columns], schema=table.schema) if last < len(key) else None
+        if held is not None:
+            part = held.column(2).to_numpy(zero_copy_only=False)
+            if part.min() != part.max():
+                yield held
+
+    return run
 
 
 def apart(postings: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs ``a, b`` that share a key, are of different ``part`` and can be that similar.
+    """Distinct pairs ``a, b`` that share a key, are of different ``part`` and can be that similar,
+    with both parts and the number of unlike parities.
     Both tests are bounds, so no similar pair is lost: a set of ``n`` shares at most the ``n - at``
     from the key on, and sets differ in at least as many members as they have unlike parities."""
     x, y = (postings.select("key", *(F.col(c).alias(side + c) for c in ("rep", "part", "n", "at", "bits"))) for side in "xy")
@@ -345,7 +420,7 @@ def apart(postings: DataFrame, similarity: float) -> DataFrame:
     room = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))
     unlike = sum((F.bit_count(F.col("xbits")[i].bitwiseXOR(F.col("ybits")[i])) for i in range(PARITIES // 64)), F.lit(0))
     both = x.join(y, "key").where((F.col("xrep") < F.col("yrep")) & (F.col("xpart") != F.col("ypart")) & (room >= need))
-    return both.where(unlike <= F.col("xn") + F.col("yn") - 2 * need).select(F.col("yrep").alias("a"), F.col("xrep").alias("b")).distinct()
+    return both.where(unlike <= F.col("xn") + F.col("yn") - 2 * need).select(F.col("yrep").alias("a"), F.col("xrep").alias("b"), "xpart", "ypart", unlike.alias("unlike")).distinct()
 
 
 def shingle_hashes(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -360,16 +435,22 @@ def shingle_hashes(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarra
 
 def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose texts' shingle sets have at least this Jaccard similarity. Only
-    documents of a pair are hashed; their sets travel once per pair."""
+    documents of a pair are hashed; their sets travel once per pair that ``MARKS`` parities allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py()) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"])
+            marks = [np.packbits(np.bincount(h & (MARKS - 1), minlength=MARKS) & 1).view(np.int64) for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in (sets, marks))], names=["doc_id", "grams", "marks"])
 
     pairs = staged(pairs, "candidates")
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(docs.join(named, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, grams array<bigint>"), "shingles")
+    sets = staged(docs.join(named, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, grams array<bigint>, marks array<bigint>"), "shingles")
+    size = sets.select("doc_id", F.size("grams").alias("n"), "marks")
+    a, b = (size.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}n"), F.col("marks").alias(f"{c}marks")) for c in "ab")
+    unlike = F.aggregate(F.zip_with("amarks", "bmarks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
+    bound = (F.col("an") + F.col("bn")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    pairs = staged(pairs.join(a, "a").join(b, "b").where(unlike <= bound).select("a", "b"), "candidates")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     enough = shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)
