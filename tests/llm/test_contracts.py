@@ -378,6 +378,19 @@ def test_html_broken_and_deep():
         html_text.html_to_text("".join(bits[int(i)] for i in rng.integers(0, len(bits), 25)))
 
 
+def test_html_quotes_and_short_comments():
+    for page, want in (
+        ("<p title=don't>Visible text here</p><p>more that's shown</p>", "Visible text here\n\nmore that's shown"),
+        ('<p don\'t title = 5">a</p><p>b"c</p>', 'a\n\nb"c'),
+        ("<p title='a>b' class = \"c>d\">e</p>", "e"),
+        ("<p x'hidden>a</p>", "a"),
+        ("<!-->a<!-- b -->c", "ac"),
+        ("<!--->a<!-- b -->c", "ac"),
+        ("<!----><p>a", "a"),
+    ):
+        assert html_text.html_to_text(page) == want
+
+
 def test_html_query(spark, data):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in queries.op6_html_text(spark, data).collect()}

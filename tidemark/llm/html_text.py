@@ -58,8 +58,8 @@ IMPLIED = {
 SCOPE = frozenset("table td th caption html template object button".split())
 RESULT = {"text": "string"}
 
-_token = re.compile(r"<!--(.*?)(?:-->|--!>|$)|<[!?]([^>]*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_attribute = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_token = re.compile(r"<!--(?:-?>|(.*?)(?:-->|--!>|$))|<[!?]([^>]*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]*+)|[^>=])*+)(?:>|$)", re.S)
+_attribute = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _rule = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _simple = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?$", re.I)
 _unseen = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
