@@ -391,6 +391,18 @@ def test_html_quotes_and_short_comments():
         assert html_text.html_to_text(page) == want
 
 
+def test_html_shows_svg_math_options_and_buttons():
+    for page, want in (
+        ("a<svg><title>no</title><defs><text>no</text></defs>no<g/><text>b <tspan>c</tspan></text><text hidden>no</text><text>d</text></svg>e", "a b c d e"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+        ("<select><option>no<option selected>b</select>c", "b c"),
+        ("<select><option disabled>no<optgroup><option>b<option>no</select>", "b"),
+        ("<select multiple><option>a<option label=b>no</select>", "a b"),
+        ("a<input type=submit value=Go><input value=no><input type=hidden value=no>b", "a Go b"),
+    ):
+        assert html_text.html_to_text(page) == want
+
+
 def test_html_query(spark, data):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in queries.op6_html_text(spark, data).collect()}

@@ -5,10 +5,11 @@ browser does not show; a renderer emits all other text: blocks on lines of their
 lines where they have margins, list items with bullets or numbers and indents, preformatted text
 as it is, and table cells padded to columns.
 
-Visibility: head, scripts, styles, templates, form controls' values, media fallbacks, comments,
-elements with ``hidden``, ``display:none`` or ``visibility:hidden`` in their style or by a simple
+Visibility: head, scripts, styles, templates, contents of text fields (``textarea`` and the values
+of text-like ``input``), media fallbacks, comments, elements with ``hidden``, ``display:none`` or ``visibility:hidden`` in their style or by a simple
 selector (``tag``, ``.class``, ``#id``, ``tag.class``) of the page's style sheets, closed
-``details`` but for their summary, and dialogs that are not open.
+``details`` but for their summary, and dialogs that are not open. Text of inline svg and of math,
+the chosen option of a select (all of a list box) and the labels of buttons are shown.
 
 Defined cases: null stays null and empty or textless pages give ''; broken markup never raises;
 tags nest to any depth (no recursion on input); repeated rows stay; input columns named like a
@@ -30,7 +31,7 @@ from tidemark.llm.staging import extend
 # fixed values: element classes of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title textarea select option datalist object audio video canvas svg math param meta link base area map rp".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title textarea datalist object audio video canvas annotation annotation-xml param meta link base area map rp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table ul caption xmp".split())
 MARGIN = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir xmp hr".split())
 ENDS_P = BLOCK - frozenset("body html dd dt li legend optgroup caption summary".split()) | {"summary", "li", "dd", "dt"}
@@ -56,6 +57,8 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 SCOPE = frozenset("table td th caption html template object button".split())
+#: what holds text in an inline svg that is not drawn where it stands
+UNDRAWN = frozenset("title desc defs symbol metadata clippath mask pattern marker style script".split())
 RESULT = {"text": "string"}
 
 _token = re.compile(r"<!--(?:-?>|(.*?)(?:-->|--!>|$))|<[!?]([^>]*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]*+)|[^>=])*+)(?:>|$)", re.S)
@@ -129,14 +132,14 @@ def parse(html: str) -> Node:
         stack[-1].children.append(node)
         if name in VOID:
             continue
+        if m[5].endswith("/") and (name in ("svg", "math") or any(x.tag in ("svg", "math") for x in stack)):
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*/?>", re.I).search(html, at) if name != "plaintext" else None
             text = html[at : end.start()] if end else html[at:]
             node.children.append(unescape(text) if name in ("textarea", "title") else text)
             at = end.end() if end else n
             continue
-        if m[5] and m[5].endswith("/") and name in ("svg", "math", "path", "circle", "rect", "use"):
-            continue
         stack.append(node)
     return root
 
@@ -168,6 +171,38 @@ def visible(node: Node, rules: set[tuple[str, str, str]]) -> bool:
     return True
 
 
+def drawn(svg: Node, rules: set) -> list[Node]:
+    """Text elements and embedded HTML of an inline svg, in order."""
+    out, todo = [], [svg]
+    while todo:
+        node = todo.pop()
+        if node.tag in UNDRAWN or not visible(node, rules):
+            continue
+        if node.tag in ("text", "foreignobject"):
+            out.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return out
+
+
+def shown(select: Node, rules: set) -> list[Node]:
+    """The chosen option of a select; all of a list box."""
+    options, todo = [], [select]
+    while todo:
+        node = todo.pop()
+        if node is not select and not visible(node, rules):
+            continue
+        if node.tag == "option":
+            options.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    size = select.attrs.get("size", "")
+    if "multiple" in select.attrs or size.isdigit() and int(size[:9]) > 1:
+        return options
+    chosen = [o for o in options if "selected" in o.attrs] or [o for o in options if "disabled" not in o.attrs][:1]
+    return chosen[-1:]
+
+
 def width(text: str) -> int:
     """Columns of a line on a terminal: wide characters take two, combining ones none."""
     if text.isascii():
@@ -263,8 +298,18 @@ def _render(root: Node, rules: set) -> list[str]:
                 lines.text(node.attrs["alt"])
             continue
         if tag == "input":
+            kind = node.attrs.get("type", "").lower()
+            if label := node.attrs.get("alt" if kind == "image" else "value", "") if kind in ("submit", "button", "reset", "image") else "":
+                lines.text(f" {label} ")
             continue
         children = node.children
+        if tag in ("svg", "select"):
+            children = drawn(node, rules) if tag == "svg" else shown(node, rules)
+        elif tag in ("text", "option"):
+            lines.text(" ")
+            steps.append(("call", lambda lines=lines: lines.text(" "), 0, False))
+            if tag == "option" and node.attrs.get("label"):
+                children = [node.attrs["label"]]
         if tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
         if tag == "table":
