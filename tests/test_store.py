@@ -45,7 +45,7 @@ def test_snapshots_outlive_flush_compaction_and_vacuum(store):
             store.apply([(b"k", b"new-%d" % i), (b"gone", None)])
             store.flush()
         assert store.compact_all() > 0
-        store.vacuum()
+        store.vacuum(0)
         assert view(store, held) == {b"k": b"old", b"gone": b"x"} and store.get(b"k", held) == b"old"
         assert view(store) == {b"k": b"new-3"}
     assert store.floor() == store.current_seq()
@@ -53,7 +53,7 @@ def test_snapshots_outlive_flush_compaction_and_vacuum(store):
         store.put(b"other", b"%d" % i)
         store.flush()
     store.compact_all()
-    gone = store.vacuum()
+    gone = store.vacuum(0)
     assert gone and view(store) == {b"k": b"new-3", b"other": b"1"} and store.manifests.versions() == [store.manifest().version]
 
 
@@ -124,7 +124,7 @@ def test_crash_between_data_and_commit(spark, tmp_path):
         again = Store(spark, store.path, QUIET)
         live = {k: v for k, v in model.items() if v is not None}
         assert view(again) == live
-        again.vacuum()
+        again.vacuum(0)
         assert view(again) == live and again.put(b"new", b"1") > 0
 
 
@@ -143,7 +143,7 @@ def test_stream_ingest_is_exactly_once(spark, tmp_path):
     stream = spark.readStream.schema("user_key binary, is_tombstone boolean, value binary, position long").option("maxFilesPerTrigger", 1).parquet(src)
     for _ in range(2):  # the second run finds nothing new
         ingest(stream, store, str(tmp_path / "ck")).awaitTermination()
-        assert store.current_seq() == 60 and len(store.manifest().batches) == 3
+        assert store.current_seq() == 60 and store.manifest().streams == {"ingest": [2, 60]}
 
 
 def test_streaming_latest(spark, tmp_path):
@@ -189,3 +189,139 @@ def test_stats_and_verify(spark, store, tmp_path):
         f.unlink()
     spark.createDataFrame([(b"a", 1, False, b"X"), (b"b", 2, True, None)], LOG).write.mode("append").parquet(str(folder))
     assert store.verify() == [table.path]
+
+
+def test_snapshots_protect_all_handles_and_processes(spark, store):
+    """What one handle pins, another one's compaction and vacuum leave alone; and what a lease pins
+    that no registry of this process knows."""
+    merging = StoreOptions(auto_compact=False, compaction=CompactionConfig(min_merge_width=2))
+    store.put(b"k", b"old")
+    held = store.snapshot()
+    other = Store(spark, store.path, merging)
+    elsewhere = other.manifests.lease(other.manifest().version, other.current_seq())
+    for i in range(3):
+        other.put(b"k", b"new-%d" % i)
+        other.flush()
+    assert other.compact_all() > 0
+    other.vacuum(0)
+    assert store.get(b"k", held) == b"old" and other.floor() == held.seq == 1
+    held.release()
+    other.vacuum(0)
+    assert other.floor() == 1 and held.manifest.version in other.manifests.versions()
+    other.manifests.drop(elsewhere)
+    assert other.floor() == other.current_seq() and other.stats()["leases"] == 0
+    assert other.vacuum(0) and view(store) == {b"k": b"new-2"}
+    old = other.manifests.lease(other.manifest().version, 1)
+    assert other.manifests.leases(-1) == [] and not other.manifests._fs.exists(other.manifests._path(old))
+
+
+def test_threads_share_a_handle(spark, tmp_path):
+    """Writers, readers and a background merge at once: no write is lost, every read is of a moment."""
+    import threading
+
+    store = Store(spark, f"file://{tmp_path}/threads", StoreOptions(auto_compact=False, compaction=CompactionConfig(min_merge_width=2)))
+    store.apply([(b"a", b"0"), (b"b", b"0")])
+    errors, reads = [], []
+
+    def write(name):
+        try:
+            for i in range(3):
+                store.apply([(b"a", b"%s%d" % (name, i)), (b"b", b"%s%d" % (name, i)), (name, b"%d" % i)])
+                store.flush()
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    def read():
+        try:
+            for _ in range(4):
+                with store.snapshot() as s:
+                    got = view(store, s)
+                    reads.append(got[b"a"] == got[b"b"])
+                    assert got == view(store, s)
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in (b"x", b"y")] + [threading.Thread(target=read)]
+    for t in threads:
+        t.start()
+    merged = store.compact_in_background()
+    for t in threads:
+        t.join()
+    merged.result()
+    store.compact_all()
+    got = view(store)
+    assert not errors and all(reads) and store.current_seq() == 2 + 18
+    assert got[b"x"] == got[b"y"] == b"2" and got[b"a"] == got[b"b"]
+
+
+def test_bad_batches_are_refused_whole(spark, store):
+    kind = "user_key binary, is_tombstone boolean, value binary, position long"
+    for row in ((b"k", False, b"v", None), (None, False, b"v", 1), (b"k", None, b"v", 1)):
+        for rows in ([row], [(b"a", False, b"v", 0), row]):
+            with pytest.raises(ValueError):
+                store.write_batch(spark.createDataFrame(rows, kind))
+    assert store.current_seq() == 0 and not store.manifest().logged
+    assert store.manifests.folders(f"{store.path}/segments") == []
+    assert store.write_batch(spark.createDataFrame([], kind)) == 0
+
+
+def test_a_batch_is_evaluated_once(spark, store):
+    """Positions and values that are dealt anew at each evaluation still give one sequence."""
+    from pyspark.sql import functions as F
+
+    batch = spark.range(500).select(F.col("id").cast("string").cast("binary").alias("user_key"), F.lit(False).alias("is_tombstone"), F.uuid().cast("binary").alias("value"), F.floor(F.rand() * 1e18).alias("position"))
+    assert store.write_batch(batch.repartition(5)) == 500
+    log = store.log()
+    assert sorted(r.seq for r in log.collect()) == list(range(1, 501)) and log.select("user_key").distinct().count() == 500
+    assert store.verify() == []
+
+
+def test_batch_names_have_a_bound(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/names", StoreOptions(auto_compact=False, batch_names=2))
+    for i in range(3):
+        store.apply([(b"k", b"%d" % i)], batch_id=f"b{i}")
+    assert list(store.manifest().batches) == ["b1", "b2"]
+    rows = store._rows([(b"s", b"1")])
+    assert store.write_batch(rows, ("s", 4)) == store.write_batch(rows, ("s", 4)) == store.write_batch(rows, ("s", 3)) == 4
+    assert store.write_batch(rows, ("s", 5)) == 5
+
+
+def test_leftovers_go_on_open_and_sync(spark, tmp_path):
+    path = tmp_path / "left"
+    store = Store(spark, f"file://{path}", StoreOptions(auto_compact=False, sync="always"))
+    store.put(b"k", b"v")
+    store.sync()
+    assert store.stats()["syncs"] == 2 and store.stats()["options"]["sync"] == "always"
+    left = path / "_manifest" / ".0123.tmp"
+    left.write_text("{")
+    assert Store(spark, store.path).recovered == [] and left.exists()  # it is young
+    assert Store(spark, store.path, StoreOptions(vacuum_age=0)).recovered == [".0123.tmp"] and not left.exists()
+    assert store.get(b"k") == b"v"
+    with pytest.raises(ValueError):
+        StoreOptions(sync="sometimes")
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from tidemark.sources.shared import shared_dir
+
+    class Far:
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    return type("c", (), {"getCheckpointDir": staticmethod(lambda: type("o", (), {"isDefined": staticmethod(lambda: False)}))})
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError):
+        shared_dir(Far)
+
+
+def test_demo(spark, tmp_path):
+    from tidemark.demo import main
+
+    lines = main(spark, f"file://{tmp_path}/demo")
+    assert lines[0] == "live 2 of 4 versions" and lines[1] == "apple is b'new-2', and was b'1'" and lines[-2].startswith("opened again: ['apple'], damaged segments []")

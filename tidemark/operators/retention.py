@@ -9,15 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.schema import by_key
+from tidemark.operators.visibility import visible
 
 
 def collect_versions(log: DataFrame, floor: int, drop_tombstones: bool) -> DataFrame:
-    """What compaction keeps of a duplicate-free ``log``. Two unordered window passes over one
-    shuffle on the key: the anchor and the oldest kept value are plain extrema."""
-    anchor = F.max(F.when(F.col("seq") <= F.lit(floor), F.col("seq"))).over(by_key())
-    kept = log.withColumn("_anchor", anchor).where((F.col("seq") > F.lit(floor)) | (F.col("seq") == F.col("_anchor")))
-    if drop_tombstones:
-        oldest = F.min(F.when(~F.col("is_tombstone"), F.col("seq"))).over(by_key())
-        kept = kept.withColumn("_oldest", oldest).where(~F.col("is_tombstone") | F.coalesce(F.col("_oldest") < F.col("seq"), F.lit(False)))
-    return kept.select(*log.columns)
+    """What compaction keeps of a duplicate-free ``log``. Versions above the floor are not shuffled
+    at all, and of the others each task sends at most one for each key. Tombstones carry no value,
+    so whether they go is decided on narrow rows: a semi-join, which splits a hot key."""
+    kept = log.where(F.col("seq") > F.lit(floor)).unionByName(visible(log, floor))
+    if not drop_tombstones:
+        return kept
+    narrow = log.select("user_key", "seq", "is_tombstone")
+    narrow = narrow.where(F.col("seq") > F.lit(floor)).unionByName(visible(narrow, floor))
+    oldest = narrow.where(~F.col("is_tombstone")).groupBy("user_key").agg(F.min("seq").alias("_oldest"))
+    hiding = kept.where("is_tombstone").join(oldest, "user_key").where(F.col("_oldest") < F.col("seq"))
+    return kept.where(~F.col("is_tombstone")).unionByName(hiding.select(*log.columns))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.schema import entry_bytes
+from tidemark.operators.numbering import before_part, dealt
+from tidemark.schema import entry_bytes, version_order
 
 SLOT = ("table_seq", "generation")
 
@@ -43,15 +44,18 @@ def version_histogram(log: DataFrame) -> DataFrame:
 
 def blocks(run: DataFrame, block_bytes: int = 4096, header: int = 17) -> DataFrame:
     """Blocks of each segment in the internal order, about ``block_bytes`` each by running size:
-    first key and seq, offset and length. Offsets follow whole entries."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*SLOT).orderBy(F.col("user_key"), F.desc("seq"))
+    first key and seq, offset and length. Offsets follow whole entries. Sizes are summed within
+    ranges of the order and the sums of earlier ranges added, so no task sees a whole segment."""
     size = F.lit(header) + F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0))
-    placed = run.withColumn("_size", size).withColumn("_end", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.withColumn("block", F.floor((F.col("_end") - F.col("_size")) / F.lit(block_bytes)))
-    first = F.min(F.struct((F.col("_end") - F.col("_size")).alias("offset"), "user_key", "seq"))
-    return placed.groupBy(*SLOT, "block").agg(first.alias("f"), F.sum("_size").alias("len")).select(*SLOT, "block", F.col("f.user_key").alias("first_key"), F.col("f.seq").alias("first_seq"), F.col("f.offset").alias("offset"), "len")
+    rows = dealt(run.select(*SLOT, "user_key", "seq", size.cast("bigint").alias("size")), [F.col("table_seq"), F.col("generation"), *version_order()])
+    parts = before_part(rows.groupBy(*SLOT, "_part").agg(F.sum("size").alias("n")), "n", list(SLOT)).drop("n")
+    here = Window.partitionBy(*SLOT, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    # as many rows as ranges, and one more for each segment
+    placed = rows.withColumn("end", F.sum("size").over(here)).join(F.broadcast(parts), [*SLOT, "_part"])
+    placed = placed.withColumn("offset", F.col("before") + F.col("end") - F.col("size"))
+    placed = placed.withColumn("block", F.floor(F.col("offset") / F.lit(block_bytes)))
+    first = F.min(F.struct("offset", "user_key", "seq")).alias("f")
+    return placed.groupBy(*SLOT, "block").agg(first, F.sum("size").alias("len")).select(*SLOT, "block", F.col("f.user_key").alias("first_key"), F.col("f.seq").alias("first_seq"), F.col("f.offset").alias("offset"), "len")
 
 
 def write_amplification(written: DataFrame, logical_bytes: DataFrame) -> DataFrame:

@@ -44,33 +44,41 @@ def get(log: DataFrame, key: bytes, snapshot: int | None = None) -> DataFrame:
     return newest.where(~F.col("is_tombstone")).select("user_key", "seq", "value")
 
 
-def multi_get(log: DataFrame, probes: DataFrame, seq_ranges: int = 1) -> DataFrame:
-    """``probe_id, user_key, snapshot`` with ``seq, value`` of what each probe sees (nulls where
-    it sees nothing). An as-of join without a product of versions and probes: both are put in one
-    sequence by key and time, and the last version before a probe is carried to it.
-
-    With ``seq_ranges`` over 1 a hot key's versions are dealt to so many ranges of time; a probe
-    whose range has nothing before it takes the last version of an earlier range.
-    """
-    versions = log.select("user_key", F.col("seq").alias("at"), F.lit(0).alias("is_probe"), F.lit(None).cast("bigint").alias("probe_id"), F.struct("seq", "is_tombstone", "value").alias("version"))
-    asks = probes.select("user_key", F.col("snapshot").alias("at"), F.lit(1).alias("is_probe"), "probe_id", F.lit(None).cast(versions.schema["version"].dataType).alias("version"))
-    line = versions.unionByName(asks)
-    part = ["user_key"]
-    if seq_ranges > 1:
-        low, high = log.agg(F.min("seq"), F.max("seq")).first()
-        width = max(1, -(-((high or 0) - (low or 0) + 1) // seq_ranges))
-        span = F.floor((F.col("at") - F.lit(low or 0)) / F.lit(width))
-        line = line.withColumn("range", F.least(F.greatest(span, F.lit(0)), F.lit(seq_ranges - 1)))
-        part.append("range")
-    before = Window.partitionBy(*part).orderBy("at", "is_probe").rowsBetween(Window.unboundedPreceding, 0)
+#: ranges of time that a key's versions are dealt to in an as-of join
+SEQ_RANGES = 16
+
+
+def asof(log: DataFrame, probes: DataFrame, seq_ranges: int = SEQ_RANGES) -> DataFrame:
+    """``probe_id, user_key, snapshot`` with ``seq`` and ``is_tombstone`` of the last version not
+    after the snapshot (nulls where there is none). No product of versions and probes: both are put
+    in one sequence by key and time, and the last version before a probe is carried to it. Values
+    are not read. A key's versions are dealt to ranges of time, cut at quantiles of all versions'
+    numbers, so a hot key is several tasks; a probe whose range has nothing before it takes the last
+    version of an earlier range."""
+    kind = "struct<seq:bigint,is_tombstone:boolean>"
+    versions = log.select("user_key", F.col("seq").alias("at"), F.lit(0).alias("is_probe"), F.lit(None).cast("bigint").alias("probe_id"), F.struct("seq", "is_tombstone").cast(kind).alias("version"))
+    asks = probes.select("user_key", F.col("snapshot").alias("at"), F.lit(1).alias("is_probe"), "probe_id", F.lit(None).cast(kind).alias("version"))
+    share = [i / seq_ranges for i in range(1, seq_ranges)]
+    cuts = (log.agg(F.percentile_approx("seq", share, 1000)).first()[0] or []) if share else []
+    span = sum(((F.col("at") > F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    line = versions.unionByName(asks).withColumn("range", span)
+    before = Window.partitionBy("user_key", "range").orderBy("at", "is_probe").rowsBetween(Window.unboundedPreceding, 0)
     seen = line.withColumn("seen", F.last("version", ignorenulls=True).over(before)).where("is_probe = 1")
-    if seq_ranges > 1:
-        last = line.where("is_probe = 0").groupBy("user_key", "range").agg(F.max_by("version", "at").alias("last"))
-        earlier = seen.where("seen is null").select("probe_id", "user_key", "at", "range").join(last.select("user_key", F.col("range").alias("r"), "last"), "user_key")
-        earlier = earlier.where(F.col("r") < F.col("range")).groupBy("probe_id").agg(F.max_by("last", "r").alias("carried"))
-        seen = seen.join(earlier, "probe_id", "left").withColumn("seen", F.coalesce("seen", "carried"))
-    live = ~F.col("seen.is_tombstone")
-    return seen.select("probe_id", "user_key", F.col("at").alias("snapshot"), F.when(live, F.col("seen.seq")).alias("seq"), F.when(live, F.col("seen.value")).alias("value"))
+    # of each key as many rows as ranges at most: the last version of any earlier range
+    version = F.col("is_probe") == 0
+    last = line.groupBy("user_key", "range").agg(F.max_by(F.when(version, F.col("version")), F.when(version, F.col("at"))).alias("last"))
+    carried = Window.partitionBy("user_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("user_key", "range", F.last("last", ignorenulls=True).over(carried).alias("earlier")).where("earlier is not null")
+    seen = seen.join(last, ["user_key", "range"], "left").withColumn("seen", F.coalesce("seen", "earlier"))
+    return seen.select("probe_id", "user_key", F.col("at").alias("snapshot"), "seen.seq", "seen.is_tombstone")
+
+
+def multi_get(log: DataFrame, probes: DataFrame, seq_ranges: int = SEQ_RANGES) -> DataFrame:
+    """``probe_id, user_key, snapshot`` with ``seq, value`` of what each probe sees (nulls where
+    it sees nothing): an as-of join on keys and numbers alone, then the winners' values."""
+    seen = asof(log, probes, seq_ranges)
+    seen = seen.select("probe_id", "user_key", "snapshot", F.when(~F.col("is_tombstone"), F.col("seq")).alias("seq"))
+    return seen.join(log.select("user_key", "seq", "value"), ["user_key", "seq"], "left").select("probe_id", "user_key", "snapshot", "seq", "value")
 
 
 def contains(log: DataFrame, keys: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -81,18 +89,21 @@ def contains(log: DataFrame, keys: DataFrame, snapshot: int | None = None) -> Da
 
 def count_live(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """``n_live``. Only key, seq and flag are read, and the winner is a plain hash aggregate."""
-    winner = F.max(F.col("seq") * 2 + F.when(F.col("is_tombstone"), 0).otherwise(1))
-    return until(log, snapshot).groupBy("user_key").agg(winner.alias("w")).agg(F.coalesce(F.sum(F.col("w") % 2), F.lit(0)).cast("bigint").alias("n_live"))
+    dead = until(log, snapshot).groupBy("user_key").agg(F.max_by("is_tombstone", "seq").alias("dead"))
+    return dead.agg(F.count_if(~F.col("dead")).alias("n_live"))
 
 
 def is_empty(log: DataFrame, snapshot: int | None = None) -> DataFrame:
-    return count_live(log, snapshot).select((F.col("n_live") == 0).alias("is_empty"))
+    """Whether no key is live; one live key is enough to answer."""
+    dead = until(log, snapshot).groupBy("user_key").agg(F.max_by("is_tombstone", "seq").alias("dead"))
+    return dead.where(~F.col("dead")).limit(1).agg((F.count(F.lit(1)) == 0).alias("is_empty"))
 
 
-def deletes(log: DataFrame) -> DataFrame:
-    """Each delete with whether a live value was visible just before it."""
-    before = F.lag("is_tombstone").over(by_key().orderBy("seq"))
-    return log.withColumn("existed", F.coalesce(~before, F.lit(False))).where("is_tombstone").select("user_key", "seq", "existed")
+def deletes(log: DataFrame, seq_ranges: int = SEQ_RANGES) -> DataFrame:
+    """Each delete with whether a live value was visible just before it: a read as of then."""
+    probes = log.where("is_tombstone").select("user_key", F.col("seq").alias("probe_id"), (F.col("seq") - 1).alias("snapshot"))
+    seen = asof(log, probes, seq_ranges)
+    return seen.select("user_key", F.col("probe_id").alias("seq"), F.coalesce(~F.col("is_tombstone"), F.lit(False)).alias("existed"))
 
 
 def ordered(log: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.bloom import segment_blooms
+from tidemark.functions.bloom import FNV_BASES, FNV_PRIME, MIX, segment_blooms
 from tidemark.operators import numbering, recovery, retention, statistics, visibility
 from tidemark.plans.compaction import plan
 from tidemark.schema import mutation_log
@@ -41,8 +41,13 @@ def log_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutation_log(t, F.col("o_custkey"), F.col("o_orderkey") + 1, F.col("o_orderpriority") == "5-LOW", F.col("o_orderstatus"))
 
 
-def _seq(log: DataFrame, part: float) -> int:
-    """A snapshot: one number from one narrow column."""
+def _seq(log: DataFrame, part: float) -> Column:
+    """A snapshot: one number from one narrow column, asked for by the query itself."""
+    return F.floor(log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).scalar() * F.lit(part)).cast("bigint")
+
+
+def _seq_now(log: DataFrame, part: float) -> int:
+    """The same for what a store has to know before it starts."""
     return math.floor((log.agg(F.max("seq")).first()[0] or 0) * part)
 
 
@@ -54,7 +59,7 @@ def _kv(df: DataFrame) -> DataFrame:
 
 def _segments(log: DataFrame) -> DataFrame:
     """E cut into segments of equal ranges of seq."""
-    width = -(-_seq(log, 1) // SEGMENTS) or 1
+    width = -(-_seq_now(log, 1) // SEGMENTS) or 1
     return log.withColumns({"table_seq": F.floor((F.col("seq") - 1) / F.lit(width)).cast("bigint"), "generation": F.lit(0)})
 
 
@@ -173,7 +178,7 @@ def q21_zone_prune(spark, d):
 
 def _framed(spark, d):
     log = log_e(spark, d)
-    bad = F.floor((F.col("seq") - 1) / FRAME) == F.lit(_seq(log, LATER) // FRAME)
+    bad = F.floor((F.col("seq") - 1) / FRAME) == F.floor(_seq(log, LATER) / FRAME)
     return log.withColumns({"frame_no": F.floor((F.col("seq") - 1) / FRAME).cast("bigint"), "is_bad": bad})
 
 
@@ -210,7 +215,7 @@ def q27_compaction_plan(spark, d):
 
 
 def q28_bloom_stats(spark, d):
-    return segment_blooms(_segments(log_o(spark, d)))
+    return segment_blooms(_segments(log_o(spark, d))).withColumn("fp_rate", F.round("fp_rate", 9))
 
 
 def q29_stream_latest(spark, d):
@@ -228,7 +233,7 @@ def q30_store_scan(spark, d):
     taken before the last batch."""
     log = log_o(spark, d)
     store = Store(spark, fresh_folder(spark, "store"), StoreOptions(auto_compact=False, flush_bytes=1 << 40))
-    edges = [0, _seq(log, 0.25), _seq(log, FLOOR), _seq(log, AT), _seq(log, LATER), _seq(log, 1)]
+    edges = [0, _seq_now(log, 0.25), _seq_now(log, FLOOR), _seq_now(log, AT), _seq_now(log, LATER), _seq_now(log, 1)]
     snapshot = None
     for low, high in zip(edges[:-1], edges[1:]):
         if high == edges[-1]:
@@ -280,6 +285,30 @@ _SEGMENTS = f", segs AS (SELECT *, CAST(floor((seq - 1) / CAST(ceil((SELECT max(
 _SIZE = "strlen(k) + 8 + coalesce(strlen(v), 0)"
 _FRAMES = f", framed AS (SELECT *, CAST(floor((seq - 1) / {FRAME}) AS BIGINT) AS frame_no FROM log), states AS (SELECT frame_no, count(*) AS n_records, max(seq) AS max_seq, frame_no = {_at(LATER)} // {FRAME} AS bad FROM framed GROUP BY frame_no), prefix AS (SELECT frame_no, n_records, max_seq, NOT bool_or(bad) OVER (ORDER BY frame_no) AS recovered FROM states)"
 
+
+
+def _bloom_hash(basis: int) -> str:
+    """FNV-1a of the key's characters with murmur3's finaliser, in 128-bit arithmetic."""
+    wrap = "% 18446744073709551616::UHUGEINT"
+    z = f"list_reduce(list_prepend({basis}::UHUGEINT, list_transform(string_split(k, ''), lambda x: ascii(x)::UHUGEINT)), lambda h, x: (xor(h, x) * {FNV_PRIME}::UHUGEINT) {wrap})"
+    for m in MIX:
+        z = f"(SELECT (xor(z, z >> 33) * {m}::UHUGEINT) {wrap} FROM (SELECT {z} AS z))"
+    return f"(SELECT xor(z, z >> 33) FROM (SELECT {z} AS z))"
+
+
+_PLAN = f""", segs2 AS (SELECT table_seq, CAST(sum({_SIZE}) AS BIGINT) AS size, row_number() OVER (ORDER BY table_seq) - 1 AS i FROM segs GROUP BY table_seq),
+reach(start, width, total) AS (
+  SELECT i, 1, greatest(size, 1)::DOUBLE FROM segs2
+  UNION ALL SELECT r.start, r.width + 1, r.total + greatest(s.size, 1) FROM reach r JOIN segs2 s ON s.i = r.start + r.width
+  WHERE r.width < 10 AND greatest(greatest(s.size, 1), r.total / r.width) / least(greatest(s.size, 1), r.total / r.width) <= 1.5),
+best AS (SELECT start, max(width) AS width FROM reach GROUP BY start HAVING max(width) >= 4 ORDER BY width DESC, start LIMIT 1)"""
+_BLOOM = f""", keys AS (SELECT DISTINCT table_seq, k FROM segs),
+hashed AS (SELECT table_seq, {_bloom_hash(FNV_BASES[0])} AS a, {_bloom_hash(FNV_BASES[1])} AS b FROM keys),
+sized AS (SELECT table_seq, count(*) AS num_keys, greatest(64, CAST(ceil(count(*) * (-ln(0.01) / (ln(2) * ln(2)))) AS BIGINT)) AS num_bits FROM keys GROUP BY table_seq),
+shaped AS (SELECT *, CAST(least(30, greatest(1, floor(num_bits / num_keys * ln(2) + 0.5))) AS INTEGER) AS num_hashes FROM sized),
+probes AS (SELECT table_seq, a, b, num_bits, unnest(range(num_hashes)) AS i FROM hashed JOIN shaped USING (table_seq)),
+bits AS (SELECT table_seq, count(DISTINCT ((a + i::UHUGEINT * (b | 1::UHUGEINT)) % 18446744073709551616::UHUGEINT) % num_bits::UHUGEINT) AS bits_set FROM probes GROUP BY table_seq)"""
+
 ORACLE_SQL = {
     "q01_get_latest": _with(_E) + f"SELECT * FROM ({_live()}) WHERE k = '{KEY}'",
     "q02_get_at": _with(_E) + f"SELECT * FROM ({_live(f'seq <= {_at(AT)}')}) WHERE k = '{KEY}'",
@@ -309,6 +338,9 @@ ORACLE_SQL = {
     "q24_changes_between": _with(_E) + f"SELECT k, seq, is_tombstone, v FROM log WHERE seq > {_at(FLOOR)} AND seq <= {_at(AT)}",
     "q25_write_amp": _with(_E, _kept(False)) + f"SELECT CAST((SELECT sum({_SIZE}) FROM log) + (SELECT sum({_SIZE}) FROM gc) AS BIGINT) AS written_bytes, CAST((SELECT sum({_SIZE}) FROM log) AS BIGINT) AS logical_bytes",
     "q26_version_histogram": _with(_O) + "SELECT n_versions, count(*) AS n_keys FROM (SELECT count(*) AS n_versions FROM log GROUP BY k) GROUP BY n_versions",
+    "q27_compaction_plan": _with(_E, _SEGMENTS + _PLAN).replace("WITH log", "WITH RECURSIVE log", 1)
+    + "SELECT start, CAST(width AS BIGINT) AS width, start = 0 AS drop_tombstones, (SELECT table_seq FROM segs2 WHERE i = start + width - 1) AS table_seq, CAST(1 AS BIGINT) AS generation, CAST((SELECT sum(size) FROM segs2 WHERE i BETWEEN start AND start + width - 1) AS BIGINT) AS input_bytes FROM best",
+    "q28_bloom_stats": _with(_O, _SEGMENTS + _BLOOM) + "SELECT table_seq, 0 AS generation, num_keys, bits_set, num_bits, num_hashes, round(pow(bits_set / num_bits, num_hashes), 9) AS fp_rate FROM shaped JOIN bits USING (table_seq)",
     "q29_stream_latest": _with(_E) + _live(),
     "q30_store_scan": _with(_O) + _live(f"seq <= {_at(LATER)}"),
     "q31_block_index": _with(_E, _SEGMENTS + f", sized AS (SELECT *, 9 + {_SIZE} AS sz FROM segs), placed AS (SELECT *, sum(sz) OVER (PARTITION BY table_seq ORDER BY k, seq DESC ROWS UNBOUNDED PRECEDING) - sz AS off FROM sized)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,16 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, without a trailing slash. Only where none is set
-    (tests, a laptop) is a folder of this process's own used."""
+    """The session's ``spark.checkpoint.dir``, without a trailing slash. Only where none is set and
+    all runs in one process (tests, a laptop) is a folder of this process's own used; elsewhere that
+    is an error, as executors would write to disks of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isDefined():
             named = at.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         else:
             named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             spark.sparkContext.setCheckpointDir(named)

@@ -2,38 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from tidemark.store import Store
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, name: str = "ingest") -> StreamingQuery:
     """Each micro-batch of ``stream`` (user_key, is_tombstone, value, position) is one commit,
-    named by the stream and the batch's number: a batch that is replayed changes nothing."""
+    named by the stream and the batch's number: a batch that is replayed changes nothing. The store
+    keeps the last number of each stream only."""
 
     def commit(batch: DataFrame, number: int) -> None:
-        store.write_batch(batch, f"{name}-{number}")
+        store.write_batch(batch, (name, number))
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(stream: DataFrame) -> DataFrame:
-    """The newest version of each key of a stream of log rows, as it changes. State per key is
-    one version; order of arrival does not matter, as the greatest sequence number wins."""
-
-    def newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        for frame in frames:
-            row = frame.loc[frame["seq"].idxmax()]
-            if best is None or row["seq"] > best[0]:
-                best = (int(row["seq"]), bool(row["is_tombstone"]), None if row["value"] is None else bytes(row["value"]))
-        state.update(best)
-        yield pd.DataFrame({"user_key": [key[0]], "seq": [best[0]], "is_tombstone": [best[1]], "value": [best[2]]})
-
-    out = "user_key binary, seq bigint, is_tombstone boolean, value binary"
-    return stream.groupBy("user_key").applyInPandasWithState(newest, out, "seq bigint, is_tombstone boolean, value binary", "update", "NoTimeout")
+    """The newest version of each key of a stream of log rows, as it changes: a streaming aggregate
+    whose state per key is one version. Order of arrival does not matter, as the greatest sequence
+    number wins; rows that come late are older versions, so no watermark is needed."""
+    newest = F.max_by(F.struct("seq", "is_tombstone", "value"), "seq")
+    return stream.groupBy("user_key").agg(newest.alias("v")).select("user_key", "v.*")
