@@ -2,21 +2,24 @@
 
 A text is normalised (compatibility composition and full case folding, both repeated so that the
 result is stable), runs of white space become one space, and ends are trimmed. The digest is two
-64-bit xxhashes with different seeds. Documents with equal digests form a bucket, in which the
-canonical bytes are compared; where a bucket has several, all but the first in byte order get a
-number after the digest. Likeness of two texts is 1 if their canonical bytes are equal and 0
+64-bit xxhashes with different seeds. Texts and edited texts with equal digests form a bucket, in
+which the canonical bytes are compared; where a bucket has several, all but the first in byte order
+get a number after the digest. Likeness of two texts is 1 if their canonical bytes are equal and 0
 otherwise, compared byte for byte.
 
-The next document, in descending order of doc_id, is found without a global sort: doc_ids are cut
-into blocks of some hundred rows by value, a window looks ahead within a block, and the last row
-of a block takes the first text of the next block that has rows, which is looked up the same way
-over blocks of blocks. Texts are shuffled once for that and once, for equal digests only in what
-is compared, by doc_id. All of it is JVM-side; normalisation calls the ICU classes that Spark has.
+The next document, in descending order of doc_id, is found without a global sort: ids are cut into
+blocks by their leading bits, a window looks ahead within a block, and the last row of a block takes
+the first text of the next block that has rows. Blocks that hold too many rows are cut further, by
+more bits and, where many rows share one id or have none, by a hash of the text. All texts are
+shuffled once, for that. Buckets are found by counts that combine before their shuffle, and texts
+are read a second time only where a bucket has several sources. All of it is JVM-side;
+normalisation calls the ICU classes that Spark has.
 
 Defined cases: a null text is empty; an empty text has the digest of no bytes and an empty edit;
-rows without doc_id come last; rows with equal doc_id follow each other in the order of their
-texts; a single row is its own next one; an empty table gives no rows; input columns named like a
-result column are replaced.
+rows without doc_id come last; rows with equal doc_id follow each other in the order of a hash of
+their texts, then of the texts; a single row is its own next one; an empty table gives no rows; a
+doc_id that is no integer raises TypeError; input columns named like a result column are replaced,
+and names of inner columns do not meet those of the input.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.staging import release, staged
+from tidemark.llm.staging import integer, only, release, staged
 
+#: rows of a block, about; a block of over four times as many, or four times the mean, is cut
 BLOCK_ROWS = 512
-BLOCKS_OF_BLOCKS = 4096
+#: leading bits of an id that tell the first blocks, at most, and those of each further cut
+FIRST_BITS, MORE_BITS, TIE_BITS = 16, 8, 32
 RESULT = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 _ICU = "com.ibm.icu"
 
@@ -50,70 +55,111 @@ def digest(canon: Column) -> Column:
     return F.concat(part(F.xxhash64(canon)), part(F.xxhash64(F.lit(1), canon)))
 
 
-def _next_blocks(blocks: DataFrame) -> DataFrame:
-    """``block, after``: the next lower block that has rows, and after the last one the first."""
-    blocks = blocks.select("block", F.floor(F.col("block") / BLOCKS_OF_BLOCKS).alias("big"))
-    inner = blocks.withColumn("after", F.lead("block").over(Window.partitionBy("big").orderBy(F.desc("block"))))
-    # one row for each block of blocks: some BLOCKS_OF_BLOCKS x BLOCK_ROWS documents
-    tops = blocks.groupBy("big").agg(F.max("block").alias("top"))
-    order = Window.orderBy(F.desc("big"))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.select("big", F.coalesce(F.lead("top").over(order), F.first("top").over(whole)).alias("top"))
-    return inner.join(tops, "big").select("block", F.coalesce("after", "top").alias("after"))
-
-
-def with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``df`` with ``_next``, the text of the next document in descending order of doc_id."""
-    low, high, n = df.agg(F.min(doc_id), F.max(doc_id), F.count(F.lit(1))).first()
-    if not n:
-        return df.withColumn("_next", F.lit(None).cast("string"))
-    low, high = (low or 0), (high or 0)
-    width = max(1, -(-(high - low + 1) * block_rows // n))
-    block = F.coalesce(F.floor((F.col(doc_id) - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("bigint")
-    order = Window.partitionBy("_block").orderBy(F.col(doc_id).desc_nulls_last(), text)
-    rows = df.withColumn("_block", block)
-    ahead = rows.withColumn("_ahead", F.lead(text).over(order))
-    heads = rows.select("_block", F.col(doc_id), text).withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(F.col("_block").alias("after"), F.col(text).alias("_head"))
-    blocks = _next_blocks(df.select(block.alias("block")).distinct())
-    heads = blocks.join(heads, "after").select(F.col("block").alias("_block"), "_head")
-    return ahead.join(heads, "_block").withColumn("_next", F.coalesce("_ahead", "_head")).drop("_block", "_ahead", "_head")
-
-
-def _made(base: DataFrame, keep: list[str], doc_id: str, digest) -> DataFrame:
+def blocked(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` (bigint ``id``, ``tie``) with ``block``, a struct that sorts like its rows. Blocks that
+    are cut are at most four times 2**14 for each cut, so few rows are collected and broadcast."""
+    low, high, n = df.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
+    most = max(4 * block_rows, n >> FIRST_BITS - 2)
+    bits = ((low or 0) ^ (high or 0)).bit_length() if (low or 0) >= 0 or (high or 0) < 0 else 64
+    shift = max(0, bits - min(FIRST_BITS, (n // block_rows).bit_length()))
+    # cuts: by so many bits of the id and of the tie left out
+    cuts = [(s, TIE_BITS) for s in (*range(shift, 0, -MORE_BITS), 0)] + [(0, t) for t in range(TIE_BITS - MORE_BITS, -1, -MORE_BITS)]
+    cells = [F.struct(F.col("id").isNotNull().cast("int").alias("live"), _floor(F.coalesce("id", F.lit(0)), s).alias("id"), _floor(F.col("tie"), t).alias("tie")) for s, t in cuts]
+    out, narrow, held = df.withColumn("block", cells[0]), df.select("id", "tie"), None
+    for cell, finer in zip(cells[:-1], cells[1:], strict=True):
+        narrow = narrow.withColumn("cell", cell)
+        heavy = narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("cell")
+        held = df.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
+        if held.isEmpty():
+            return out
+        narrow = narrow.join(F.broadcast(held), "cell", "left_semi").drop("cell")
+        out = out.withColumn("cell", cell).join(F.broadcast(held.withColumn("cut", F.lit(True))), "cell", "left")
+        out = out.withColumn("block", F.when(F.col("cut"), finer).otherwise(F.col("block"))).drop("cell", "cut")
+    return out
+
+
+def _floor(value: Column, bits: int) -> Column:
+    return F.shiftleft(F.shiftright(value, bits), bits) if bits < 64 else F.lit(0).cast("bigint")
+
+
+def with_next(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` (columns ``id, text`` and others) with ``row``, a hash of both, and ``next`` and
+    ``next_row``, those of the next document in descending order of id."""
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 64 - TIE_BITS)
+    rows = blocked(df.withColumns({"tie": tie, "row": F.xxhash64("id", "text")}), block_rows)
+    order = Window.partitionBy("block").orderBy(F.col("id").desc_nulls_last(), F.desc("tie"), "text")
+    ahead = rows.withColumns({"ahead": F.lead("text").over(order), "ahead_row": F.lead("row").over(order)})
+    heads = rows.select("block", "id", "tie", "text", "row").withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    # the number of blocks has a fixed bound
+    blocks = rows.select("block").distinct()
+    line = Window.orderBy(F.desc("block"))
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = blocks.select("block", F.coalesce(F.lead("block").over(line), F.first("block").over(whole)).alias("after"))
+    heads = blocks.join(heads.select(F.col("block").alias("after"), F.col("text").alias("head"), F.col("row").alias("head_row")), "after").drop("after")
+    out = ahead.join(heads, "block").withColumns({"next": F.coalesce("ahead", "head"), "next_row": F.coalesce("ahead_row", "head_row")})
+    return out.drop("block", "tie", "ahead", "ahead_row", "head", "head_row")
+
+
+def edited(text: Column, following: Column) -> Column:
+    """The later half of a text replaced by as many code points of the next document's beginning."""
+    half = F.floor(F.length(text) / 2).cast("int")
+    return F.concat(F.left(text, F.length(text) - half), F.substring(following, F.lit(1), half))
+
+
+def _made(base: DataFrame, digest) -> DataFrame:
     """The result as if no bucket were mixed, staged."""
-    half = F.floor(F.length("_text") / 2).cast("int")
-    rows = with_next(base, "_text", doc_id)
-    edited = F.concat(F.expr("left(_text, length(_text) - cast(floor(length(_text) / 2) as int))"), F.substring(F.col("_next"), F.lit(1), half))
-    rows = rows.withColumn("_edited", edited)
-    rows = rows.select(*keep, F.length("_text").cast("bigint").alias("n_chars"), F.sha2(F.encode("_edited", "utf-8"), 256).alias("edited_sha256"), canonical(F.col("_text")).alias("_a"), canonical(F.col("_edited")).alias("_b"), canonical(F.col("_next")).alias("_c"))
+    rows = with_next(base).withColumn("edit", edited(F.col("text"), F.col("next")))
+    rows = rows.select("kept", "row", "next_row", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edit", "utf-8"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("a"), canonical(F.col("edit")).alias("b"), canonical(F.col("next")).alias("c"))
     made = rows.select(
-        *keep,
+        "kept",
+        "row",
+        "next_row",
         "n_chars",
         "edited_sha256",
-        digest(F.col("_a")).alias("fingerprint"),
-        digest(F.col("_b")).alias("edited_fingerprint"),
-        (F.col("_a") == F.col("_b")).cast("double").alias("near_edited"),
-        (F.col("_a") == F.col("_c")).cast("double").alias("near_next"),
+        digest(F.col("a")).alias("fingerprint"),
+        digest(F.col("b")).alias("edited_fingerprint"),
+        (F.col("a") == F.col("b")).cast("double").alias("near_edited"),
+        (F.col("a") == F.col("c")).cast("double").alias("near_next"),
     )
     return staged(made, "fingerprints")
 
 
+def _forms(base: DataFrame, made: DataFrame, digest) -> DataFrame:
+    """``fingerprint, row, next_row, canon`` of texts (``next_row`` null) and of edited texts that
+    differ from their text, in buckets that have several sources (and of some others)."""
+    none = F.lit(None).cast("bigint")
+    edits = made.where("near_edited = 0").select(F.col("edited_fingerprint").alias("fingerprint"), "row", "next_row")
+    sources = made.select("fingerprint", "row", none.alias("next_row")).union(edits)
+    mark = F.xxhash64("row", "next_row")
+    several = sources.groupBy("fingerprint").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y").select("fingerprint")
+    members = staged(sources.join(several, "fingerprint").distinct(), "members")
+    texts = base.select(F.xxhash64("id", "text").alias("row"), "text")
+    whole = only(texts, members.where("next_row is null").select("row"), "row").select(none.alias("next_row"), "row", canonical(F.col("text")).alias("canon"))
+    edits = members.where("next_row is not null")
+    named = only(texts, edits.select(F.explode(F.array("row", "next_row")).alias("row")), "row").groupBy("row").agg(F.first("text").alias("text"))
+    both = edits.join(named, "row").join(named.select(F.col("row").alias("next_row"), F.col("text").alias("next")), "next_row")
+    both = both.select("next_row", "row", canonical(edited(F.col("text"), F.col("next"))).alias("canon"))
+    return whole.union(both).select(digest(F.col("canon")).alias("fingerprint"), "row", "next_row", "canon")
+
+
 def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, digest=digest) -> DataFrame:
     """``df`` (its columns ``keep``; all without the text by default) with ``RESULT``."""
-    keep = [c for c in keep or df.columns if c not in RESULT and c != text]
-    keep = list(dict.fromkeys([doc_id, *keep]))
-    base = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    made = _made(base, keep, doc_id, digest)
-    # frames of the first text shuffle are gone now, so its files can go before the second one
+    keep = list(dict.fromkeys([doc_id, *(c for c in keep or df.columns if c not in RESULT and c != text)]))
+    base = df.select(F.struct(*keep).alias("kept"), integer(df, doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = _made(base, digest)
+    # frames of the text shuffle are gone now, so its files can go
     release(made.sparkSession)
-    buckets = made.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
-    members = made.select(F.col(doc_id).alias("_id"), "fingerprint").join(buckets, "fingerprint").distinct()
-    texts = base.select(F.col(doc_id).alias("_id"), "_text").join(members, "_id").select("_id", "fingerprint", canonical(F.col("_text")).alias("_canon")).where(digest(F.col("_canon")) == F.col("fingerprint"))
-    mixed = staged(texts.groupBy("fingerprint").agg(F.min("_canon").alias("a"), F.max("_canon").alias("b")).where("a <> b").select("fingerprint"), "mixed-buckets")
-    if mixed.isEmpty():
-        return made
-    rank = F.dense_rank().over(Window.partitionBy("fingerprint").orderBy("_canon"))
-    numbered = texts.join(mixed, "fingerprint").withColumn("_rank", rank).groupBy("_id", "fingerprint").agg(F.min("_rank").alias("_rank"))
-    named = made.join(numbered.withColumnRenamed("fingerprint", "_fp"), (F.col(doc_id) == F.col("_id")) & (F.col("fingerprint") == F.col("_fp")), "left")
-    suffix = F.when(F.col("_rank") > 1, F.concat(F.lit("-"), F.col("_rank").cast("string"))).otherwise("")
-    return named.withColumn("fingerprint", F.concat("fingerprint", suffix)).select(*made.columns)
+    forms = _forms(base, made, digest)
+    mixed = staged(forms.groupBy("fingerprint").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("fingerprint"), "mixed-buckets")
+    if not mixed.isEmpty():
+        forms = staged(forms.join(mixed, "fingerprint"), "forms")
+        rank = F.dense_rank().over(Window.partitionBy("fingerprint").orderBy("canon"))
+        ranks = forms.select("fingerprint", "canon").distinct().withColumn("rank", rank).where("rank > 1")
+        forms = forms.join(ranks, ["fingerprint", "canon"]).select("fingerprint", "row", "next_row", "rank").distinct()
+        numbered = lambda fp, rank: F.concat(fp, F.coalesce(F.concat(F.lit("-"), F.col(rank).cast("string")), F.lit("")))
+        own = forms.where("next_row is null").select("fingerprint", "row", F.col("rank").alias("own"))
+        other = forms.where("next_row is not null").select(F.col("fingerprint").alias("edited_fingerprint"), "row", "next_row", F.col("rank").alias("other"))
+        made = made.join(own, ["fingerprint", "row"], "left").join(other, ["edited_fingerprint", "row", "next_row"], "left")
+        made = made.withColumn("fingerprint", numbered(F.col("fingerprint"), "own"))
+        made = made.withColumn("edited_fingerprint", F.when(F.col("near_edited") == 1, F.col("fingerprint")).otherwise(numbered(F.col("edited_fingerprint"), "other")))
+    return made.select("kept.*", *RESULT)
