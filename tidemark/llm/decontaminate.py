@@ -3,41 +3,42 @@
 Words are maximal runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. An
 item's windows are its runs of ``window`` consecutive words (the whole item if it is shorter).
 
-1. The words of all items are counted over all documents, which orders them by rarity.
-2. Exact containment needs every word of a window, so the necessary prefix of a window in rarity
-   order is its one rarest word. The index maps that word to (its offset in the window, window).
-3. Documents probe the index with each of their words; the offset and the document's length
-   bound where the window can lie, and the words in between are compared exactly.
-
-The index is rebuilt on executors from the items. It is bounded: items are taken in blocks of at
-most ``BLOCK_BYTES`` of text, and a larger benchmark takes one more pass over the documents for
-each further block, so neither the driver nor a worker ever holds more than a block.
+1. The shingles of all windows (``SHINGLE`` words; the whole window if it is shorter) are counted
+   over all documents, which orders them by rarity.
+2. Exact containment needs every shingle of a window, so the necessary prefix of a window in that
+   order is its one rarest shingle. The index has it with its offset in the window.
+3. Documents' shingles are joined to the index on their hash. What no prefix can be equal to is left
+   out before, by a filter of a fixed number of bits, and what is sent carries the words around it.
+4. The offset and the document's length bound where the window can lie, and all its words are
+   compared there.
+
+Both sides are tables: the benchmark may be of any size, and nothing of it but the filter is held by
+the driver or by a task. The number of passes over the documents does not depend on it. Hits are
+joined back to the documents that have some; the others are never shuffled.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no
 windows; an item without item_id marks hits but is not listed; equal item_ids are one item;
-repeated documents are each judged; an empty benchmark contaminates nothing; input columns named
-like a result column are replaced.
+repeated documents are each judged; an empty benchmark contaminates nothing; a doc_id that is no
+integer raises TypeError; input columns named like a result column are replaced, and names of inner
+columns do not meet those of the input.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.staging import extend, staged
+from tidemark.llm.ngrams import rolled, word_hashes
+from tidemark.llm.staging import bits_of, extend, keyed, pieces, scratch, split, staged, unused
 
-WINDOW = 10
-#: text of one block of items; its index takes about 40 times as much in a worker
-BLOCK_BYTES = 2_000_000
+WINDOW, SHINGLE = 10, 3
 #: every byte that cannot be part of a word becomes a space, A-Z become a-z
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-STATE = {"_hit": "binary", "_items": "array<string>"}
 RESULT = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean", "items": "array<string>"}
 
 
@@ -51,105 +52,122 @@ def windows_of(words: list[bytes], window: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
 
 
-def build_index(items: list[tuple[str | None, bytes]], rarity: dict[bytes, int], window: int) -> dict[bytes, list]:
-    """Rarest word -> [(offset of that word, window's words, item ids)]."""
-    owners: dict[tuple[bytes, ...], set] = defaultdict(set)
-    for item, text in items:
-        for w in windows_of(words_of(text), window):
-            owners[w].add(item)
-    index: dict[bytes, list] = defaultdict(list)
-    for w, ids in owners.items():
-        at = min(range(len(w)), key=lambda i: (rarity.get(w[i], 0), w[i], i))
-        index[w[at]].append((at, list(w), frozenset(i for i in ids if i is not None)))
-    return dict(index)
-
-
-def probe(words: list[bytes], index: dict[bytes, list], hit: bytearray, found: set) -> None:
-    """Mark the words of all windows that occur; ``found`` gets their items."""
-    n = len(words)
-    for i in [i for i, w in enumerate(words) if w in index]:
-        for at, win, ids in index[words[i]]:
-            s = i - at
-            e = s + len(win)
-            if s >= 0 and e <= n and words[s:e] == win:
-                hit[s:e] = b"\1" * len(win)
-                found |= ids
-
-
-def _rarity(texts: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
-    """How often each of the items' words occurs in all documents; as many rows as such words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(filter(vocabulary.__contains__, words_of(text.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
-
-    rows = texts.mapInArrow(count, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r.w): r.n for r in rows}
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where(F.col("text").isNotNull())
-    block, size = [], 0
-    for item, text in rows.toLocalIterator():
-        if block and size + len(text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((item, bytes(text)))
-        size += len(text)
-    if block:
-        yield block
-
-
-def mark_windows(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+def _item_windows(window: int):
+    """Items -> their windows: the words, how many, and the hashes of their shingles in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            rows: list[tuple] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                for w in windows_of(words_of(text), window):
+                    width = min(SHINGLE, len(w))
+                    rows.append((item, b" ".join(w).decode("utf-8", "replace"), len(w), width, rolled(word_hashes(list(w)), width).view(np.int64)))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["item", "words", "size", "width", "shingles"])
+
+    return run
+
+
+def _counts(bits: np.ndarray, widths: list[int]):
+    """Texts -> how often each shingle that the filter lets through occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = [np.empty(0, np.int64)]
+            for text in batch.column(0).cast(pa.binary()):
+                ids = word_hashes(words_of(text.as_py()))
+                for width in widths:
+                    h = rolled(ids, width)
+                    found.append(h[_passing(h, bits)].view(np.int64))
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return run
+
+
+def _passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+
+
+def _probes(bits: np.ndarray, widths: list[int], window: int):
+    """Documents -> the shingles that the filter lets through: where they are, and the words around."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            rows: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                words = words_of(text.as_py())
+                ids = word_hashes(words)
+                for width in widths:
+                    h = rolled(ids, width)
+                    for at in _passing(h, bits).tolist():
+                        low = max(0, at - window + width)
+                        rows.append((doc, at, low, int(h[at].view(np.int64)), b" ".join(words[low : at + window]).decode("utf-8", "replace")))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc", "at", "low", "h", "around"])
+
+    return run
+
+
+def found_windows(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``docs`` has ``doc`` and ``text``. One row for each document with hits: ``doc``, ``spans`` (first
+    word and number of words of each window that occurs) and ``items``."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("text").isNotNull())
+    owned = staged(items.mapInArrow(_item_windows(window), "item string, words string, size int, width int, shingles array<bigint>"), "windows")
+    windows = owned.dropDuplicates(["words"]).select("words", "size", "width", "shingles")
+    widths = sorted(r.width for r in windows.select("width").distinct().collect())
+    shingles = windows.select("words", "size", F.posexplode("shingles").alias("offset", "h"))
+    counts = docs.select("text").mapInArrow(_counts(bits_of(shingles, "h"), widths), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    ranked = shingles.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    index = ranked.groupBy("words", "size").agg(F.min(F.struct("n", "h", "offset")).alias("least"))
+    index = staged(index.select("words", "size", F.col("least.h").alias("h"), F.col("least.offset").alias("offset")), "index")
+    probes = docs.select("doc", "text").mapInArrow(_probes(bits_of(index, "h"), widths, window), "doc bigint, at int, low int, h bigint, around string")
+    begin = F.col("at") - F.col("offset")
+    here = F.array_join(F.slice(F.split("around", " "), begin - F.col("low") + 1, F.col("size")), " ")
+    met = probes.join(index, "h").where((begin >= F.col("low")) & (begin >= 0)).where(here == F.col("words"))
+    met = staged(met.select("doc", begin.alias("begin"), "size", "words").distinct(), "met")
+    named = met.select("doc", "words").distinct().join(owned.where("item is not null").select("words", "item").distinct(), "words")
+    spans = met.groupBy("doc").agg(F.collect_set(F.struct("begin", "size")).alias("spans"))
+    return spans.join(named.groupBy("doc").agg(F.collect_set("item").alias("items")), "doc", "left")
+
+
+def _covered(spans: list[dict] | None) -> int:
+    """Number of words in any of the spans."""
+    total = last = 0
+    for begin, end in sorted((s["begin"], s["begin"] + s["size"]) for s in spans or ()):
+        total += max(0, end - max(begin, last))
+        last = max(last, end)
+    return total
+
+
+def mark_windows(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, doc_id: str = "doc_id") -> DataFrame:
     """``documents`` (its columns ``keep``; all without it) with ``RESULT``; ``items`` are the
     sorted ids of the items that occur."""
     keep = [c for c in keep or documents.columns if c not in RESULT]
-    texts = documents.select(F.col("text").cast("binary"))
-    blocks = _blocks(benchmark, block_bytes)
-    out, block, state = documents.select(*dict.fromkeys([*keep, "text"])), next(blocks, []), ()
-    while True:
-        following = next(blocks, [])
-        rarity = _rarity(texts, frozenset(w for _, t in block for w in words_of(t))) if block else {}
-        out = _pass(out, block, rarity, window, None if following else keep, bool(state))
-        if not following:
-            return out
-        out, block, state = staged(out, "decontaminate"), following, STATE
-
-
-def _pass(df: DataFrame, items: list, rarity: dict[bytes, int], window: int, keep: list[str] | None, resumed: bool) -> DataFrame:
-    """One block of items over all documents. With ``keep`` it is the last one and gives the
-    result; otherwise, and where it resumes, the columns of ``STATE`` carry what was found."""
-    carried = keep if keep is not None else [c for c in df.columns if c not in STATE]
-    schema = extend(df.select(*carried).schema, RESULT if keep is not None else STATE)
+    docs, key = keyed(documents, doc_id, "text")
+    spans, items = unused(docs, "_spans", "_items")
+    with scratch() as stays:
+        found = stays(staged(found_windows(docs.select(F.col(key).alias("doc"), "text"), benchmark, window).select(F.col("doc").alias(key), F.col("spans").alias(spans), F.col("items").alias(items)), "hits"))
+    some, others = split(docs, found, key)
+    held = list(dict.fromkeys([*keep, "text"]))
+    rows = some.join(found, key, "left").select(*held, spans, items)
+    rows = rows.unionByName(others.select(*held), allowMissingColumns=True)
+    schema = extend(documents.select(*keep).schema, RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = build_index(items, rarity, window)
-        for batch in batches:
+        for batch in pieces(batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            n_words, hits, named = [], [], []
-            before = zip(col["_hit"].to_pylist(), col["_items"].to_pylist(), strict=True) if resumed else repeat((None, ()))
-            for text, (old, known) in zip(col["text"].cast(pa.binary()).to_pylist(), before, strict=False):
-                words = words_of(text)
-                hit, found = bytearray(old or bytes(len(words))), set(known)
-                probe(words, index, hit, found)
-                n_words.append(len(words))
-                hits.append(bytes(hit))
-                named.append(sorted(found))
-            if keep is None:
-                made = {"_hit": pa.array(hits, pa.binary()), "_items": pa.array(named, pa.list_(pa.string()))}
-            else:
-                n_hit = [h.count(1) for h in hits]
-                made = {
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "n_hit": pa.array(n_hit, pa.int64()),
-                    "n_items": pa.array([len(i) for i in named], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in named]),
-                    "contaminated": pa.array([n > 0 for n in n_hit], pa.bool_()),
-                    "items": pa.array(named, pa.list_(pa.string())),
-                }
+            n_hit = [_covered(s) for s in col[spans].to_pylist()]
+            named = [sorted(i or ()) for i in col[items].to_pylist()]
+            made = {
+                "n_words": pa.array([len(words_of(t)) for t in col["text"].cast(pa.binary()).to_pylist()], pa.int64()),
+                "n_hit": pa.array(n_hit, pa.int64()),
+                "n_items": pa.array([len(i) for i in named], pa.int64()),
+                "items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in named]),
+                "contaminated": pa.array([n > 0 for n in n_hit], pa.bool_()),
+                "items": pa.array(named, pa.list_(pa.string())),
+            }
             yield pa.RecordBatch.from_arrays([made.get(n, col.get(n)) for n in schema.names], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

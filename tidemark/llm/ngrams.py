@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.staging import extend
+from tidemark.llm.staging import extend, pieces
 
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 150_000
 
 
 class Hasher:
@@ -50,6 +51,36 @@ class Hasher:
         return np.unique(np.concatenate(parts)).astype(np.int32)
 
 
+class _Words(dict):
+    """Word -> its hash, emptied when full; long words are not remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = xxhash.xxh64_intdigest(word, _SEED)
+        if len(word) <= 32:
+            if len(self) >= _WORDS_KEPT:
+                self.clear()
+            self[word] = out
+        return out
+
+
+_hash_of = _Words()
+_SEED, _ODD, _MIX = 42, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+
+
+def rolled(ids: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, given the words' hashes; none if there are fewer."""
+    h = np.full(max(0, len(ids) - width + 1), width, np.uint64)
+    for k in range(width):
+        h = (h ^ ids[k : k + len(h)]) * _ODD
+        h ^= h >> np.uint64(29)
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the doc_id as text, modulo ``folds``; a null doc_id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -67,7 +98,7 @@ def sample_features(documents: DataFrame, sample: DataFrame, extract: Callable[[
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids, text, label = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "_label"))
             made = [extract(t.as_py()) for t in text]
             yield pa.RecordBatch.from_arrays([ids, label, *(pa.array([m[k] for m in made], pa.binary()) for k in range(len(names)))], names=["doc_id", "_label", *names])
@@ -83,7 +114,7 @@ def scored(df: DataFrame, score: Callable[[str | None], float], keep: list[str],
     schema = extend(df.select(*keep).schema, {"score": "double"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             values = [score(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.array(values, pa.float64())], names=schema.names)
 
