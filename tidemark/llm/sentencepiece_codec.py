@@ -31,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.staging import extend
+from tidemark.llm.staging import extend, pieces
 
 MARK = "▁"
 #: parts longer than this are encoded but not kept, and so many parts are kept in a worker
-PART_CHARS, PARTS_KEPT, PAIRS_KEPT = 48, 300_000, 1_000_000
+PART_CHARS, PARTS_KEPT, PAIRS_KEPT = 48, 150_000, 300_000
 NORMAL, BYTE = 1, 6
 RESULT = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -243,7 +243,7 @@ def encode_documents(df: DataFrame, model: str, text: str = "text", keep: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for batch in batches:
+        for batch in pieces(batches):
             n, packs, texts, decs = [], [], [], []
             for t in batch.column(batch.schema.get_field_index(text)):
                 packed = c.encode(t.as_py() or "")

@@ -1,37 +1,40 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering.
 
-A fingerprint is 8 bytes at 8 positions. Fingerprints that differ in at most 4 bits share at
-least 4 positional bytes, so a pair qualifies only if its tally of shared positional bytes
-reaches 4, and is then verified by its bit difference.
+A fingerprint is 8 bytes at 8 positions. Fingerprints that differ in at most ``bits`` bits (0 to
+6) share at least ``8 - bits`` positional bytes, so a pair qualifies only if its tally of shared
+positional bytes reaches that, and is then verified by its bit difference.
 
 Posting lists of single positional bytes would hold 1/256 of all fingerprints each, and tallying
 over them visits a constant share of all pairs. The index is therefore keyed by sets of positional
-bytes: a fixed family of position sets of which every 4 positions contain one - 20 triples, or all
-70 quadruples once triples would hold several chance entries each. Every qualifying pair meets in
-a posting list; the tally is then taken over all 8 positions.
-
-``similar_groups`` is for groups by similarity rather than by a few bits: texts whose sets of
-five-word shingles have a Jaccard similarity of 0.8 differ in about one bit in six and a half.
-There the fingerprint has 64 bytes, and a first pass over 252 triples of positions ties together
-most of what is close: a tally of 8 of 64 positions, at most 100 of 512 bits that differ, and the
-forest's links, closest first, verified on the shingle sets themselves. It misses pairs near the
-limit and of short texts, and a link that fails may have stood for others. A second pass is exact:
-in one order of all shingles, rare ones first, two such sets share one of their first n - ceil(0.8 n)
-+ 1. All pairs that do and lie in different components of the first pass are verified, but for those
-that positions, sizes and parities of the sets rule out for certain. Copies there are equal sets.
-
-A posting list yields a spanning forest of its links, not its pairs. Lists up to ``LOCAL_LIST``
-distinct fingerprints are compared in blocks as they stream by in key order. For longer ones the
-forest comes from a shuffle: two fingerprints differ in at most 4 bits if and only if some value
-differs from both in at most 2, so each is sent to its 2081 such values and tied to the least
-document there - linear in the list, and exact.
-
-Copies collapse to one fingerprint with its least doc_id before anything is indexed.
+bytes: a family of position sets (``position_sets``) of which any two qualifying fingerprints share
+one, so that every qualifying pair meets in a posting list; the tally is then taken over all 8
+positions. Lists are counted first. One longer than ``LOCAL_LIST`` is refined: its pairs share a
+further position, so its members are posted again under the set and each other position. A list
+that is still longer when its set has all the positions that a pair must share is tied together by
+values: two fingerprints differ in at most ``bits`` bits if and only if some value differs from one
+in at most the lower half of ``bits`` and from the other in at most the upper half, so each is sent
+to its values and tied to the least document near there - linear in the list, and exact. No list is
+ever streamed through one task but in pieces of ``LOCAL_LIST``, and no case is left out at any size.
+
+``similar_groups`` is for groups by similarity: texts whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more are in one component. It is exact and has three steps.
+
+1. Texts with equal sets are one class. SimHash links (as above) of classes are verified on the
+   sets themselves; they tie most of what is close.
+2. In one order of all shingles, those rare in the corpus first, two sets that are similar share one
+   of their first ``n - ceil(0.8 n) + 1``. Pairs that do and lie in different components so far are
+   candidates, unless positions, sizes or parities of the sets rule them out for certain. Only rows
+   outside a list's largest component look for partners, so a large component costs nothing.
+3. One candidate of each two components is verified, then all that still lie apart.
+
+The order comes from how many documents hold a shingle, counted over all of them in ``CELLS`` cells
+by hash; any order is exact, and this one keeps lists short.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and are linked like any
 other; a row without doc_id is fingerprinted and shares the component of its fingerprint's other
 rows (null if there are none); repeated rows stay; an empty table gives no rows; input columns
-named like a result column are replaced.
+named like a result column are replaced; a doc_id that is no integer raises TypeError, and ``bits``
+beyond 6 a ValueError. ``similar_groups`` needs a doc_id that names each row.
 """
 
 from __future__ import annotations
@@ -47,24 +50,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.staging import extend, release, staged
+from tidemark.llm.ngrams import rolled, word_hashes
+from tidemark.llm.staging import discard, extend, integer, only, pieces, release, scratch, staged
 
 SEED, BITS, SHINGLE = 42, 4, 4
 POSITIONS = 8
 #: posting lists up to this length are compared where they are read
-LOCAL_LIST = 8192
-#: distinct fingerprints beyond which positional quadruples replace triples
-TRIPLES_UP_TO = 1 << 24
-#: fingerprints for similarity: word shingles, byte positions, least tally and most bits that differ
-WIDE_SHINGLE, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS = 5, 64, 8, 100
-#: odd steps through the positions, each of which gives 21 triples
-WIDE_STRIDES = (1, 3, 5, 7, 9, 11, 13, 15, 19, 23, 27, 31)
-_SALTS = np.arange(1, WIDE_POSITIONS // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+LOCAL_LIST = 4096
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: places, a multiple of 64, whose parities bound how much two sets differ: in lists, and of pairs
-PARITIES = 512
-MARKS = 4096
-#: texts in the sample for common shingles, about; the most shingles that are taken for common
-SAMPLED, COMMON = 16_384, 1 << 17
+PARITIES, MARKS = 512, 4096
+#: cells by hash in which documents that hold a shingle are counted
+CELLS = 1 << 18
 _BLOCK, _SHORT = 512, 32
 _SET_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -82,7 +79,12 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         begins = np.concatenate(([0], ends[:-shingle])).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(begins, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    columns = np.array(hashes, "<u8").view(np.uint8).reshape(-1, POSITIONS)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are 1 where over half of the hashes have a 1."""
+    columns = hashes.astype("<u8").view(np.uint8).reshape(-1, POSITIONS)
     out = 0
     for k in range(POSITIONS):
         ones = np.bincount(columns[:, k], minlength=256) @ _SET_BITS
@@ -90,41 +92,66 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return out
 
 
-def position_sets(size: int) -> list[tuple[int, ...]]:
-    """Sets of byte positions such that any 4 of the 8 contain one. For triples: three groups of
-    positions; a triple lies in one group, or has two in a group and one in the next."""
-    if size == 4:
-        return list(combinations(range(POSITIONS), 4))
-    group = [0, 0, 0, 1, 1, 1, 2, 2]
-    return [t for t in combinations(range(POSITIONS), 3) if len(s := [group[p] for p in t]) and (len(set(s)) == 1 or len(set(s)) == 2 and (max(s, key=s.count) + 1) % 3 == min(s, key=s.count))]
+def position_sets(bits: int) -> list[tuple[int, ...]]:
+    """Sets of byte positions such that any ``8 - bits`` of the 8 contain one."""
+    halves, twos = (range(4), range(4, 8)), ((0, 1), (2, 3), (4, 5), (6, 7))
+    if bits == 0:
+        return [tuple(range(POSITIONS))]
+    if bits == 1:  # of 7 positions four are a half
+        return [tuple(h) for h in halves]
+    if bits == 2:  # of 6 positions two twos are whole
+        return [a + b for a, b in combinations(twos, 2)]
+    if bits == 3:  # of 5 positions three lie in one half
+        return [t for h in halves for t in combinations(h, 3)]
+    if bits == 4:  # of 4 positions in three groups, three lie in one, or two in one and one in the next
+        out, group = [], (0, 0, 0, 1, 1, 1, 2, 2)
+        for t in combinations(range(POSITIONS), 3):
+            held = sorted((group[p] for p in t), key=[group[p] for p in t].count)
+            if held[0] == held[2] or held[1] == held[2] and held[0] == (held[2] + 1) % 3:
+                out.append(t)
+        return out
+    if bits == 5:  # of 3 positions two lie in one half
+        return [t for h in halves for t in combinations(h, 2)]
+    if bits == 6:
+        return list(combinations(range(POSITIONS), 2))
+    raise ValueError("bits must be 0 to 6")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _bytes_at(fp: Column, positions: tuple[int, ...]) -> Column:
+    return fp.bitwiseAND(F.lit(_signed(sum(0xFF << 8 * p for p in positions))).cast("bigint"))
+
 
+def _posted(classes: DataFrame, bits: int) -> DataFrame:
+    """``rep, _fp`` once for each position set, with the set and the bytes there."""
+    keys = [F.struct(F.lit(sum(1 << p for p in s)).alias("set"), _bytes_at(F.col("_fp"), s).alias("head")) for s in position_sets(bits)]
+    return classes.select("rep", "_fp", F.explode(F.array(*keys)).alias("k")).select("k.set", "k.head", "rep", "_fp")
 
-def posting_keys(fp: Column, size: int) -> Column:
-    """One key for each position set: the set's number above the bytes it holds."""
-    keys = []
-    for n, positions in enumerate(position_sets(size)):
-        key = F.lit(n).cast("bigint")
-        for p in positions:
-            key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255).cast("bigint")))
-        keys.append(key)
-    return F.array(*keys)
+
+def _refined(lists: DataFrame) -> DataFrame:
+    """Members of lists again, under each set that has one position more."""
+    keys = [F.when(F.col("set").bitwiseAND(F.lit(1 << p)) == 0, F.struct(F.col("set").bitwiseOR(F.lit(1 << p)).alias("set"), F.col("head").bitwiseOR(_bytes_at(F.col("_fp"), (p,))).alias("head"))) for p in range(POSITIONS)]
+    rows = lists.select("rep", "_fp", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k"))
+    return rows.select("k.set", "k.head", "rep", "_fp").distinct()
 
 
 def with_fingerprints(df: DataFrame, of: Callable, kind: str) -> DataFrame:
     """``doc_id, _fp`` for rows of doc_id and text; ``of`` gives a fingerprint of type ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fps = [of(t.as_py()) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64() if kind == "bigint" else pa.binary())], names=["doc_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "_fp"])
 
     return df.mapInArrow(run, extend(df.select("doc_id").schema, {"_fp": kind}))
 
 
 def forest(fps: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """``fps`` has a row of bytes for each fingerprint. Pairs that tie together, without cycles,
-    all that is linked: by tally of shared positional bytes, then by bits, closest first within a
-    block of comparisons."""
+    all that is linked: by tally of shared positional bytes, then by bits."""
     n = len(fps)
     root, out = list(range(n)), []
 
@@ -138,17 +165,15 @@ def forest(fps: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarr
     for b in range(0, n, _BLOCK):
         for a in range(0, b + 1, _BLOCK):
             if n <= _SHORT:
-                tally = (fps[:, None] == fps[None]).sum(2, dtype=np.int16)
+                tally = (fps[:, None] == fps[None]).sum(2, dtype=np.int8)
             else:
-                tally = np.zeros((min(_BLOCK, n - a), min(_BLOCK, n - b)), np.int16)
+                tally = np.zeros((min(_BLOCK, n - a), min(_BLOCK, n - b)), np.int8)
                 for k in range(fps.shape[1]):
                     tally += fps[a : a + _BLOCK, k, None] == fps[None, b : b + _BLOCK, k]
             left, right = np.nonzero(tally >= least)
             left, right = left[m := left + a < right + b] + a, right[m] + b
-            differ = np.bitwise_count(words[left] ^ words[right]).sum(1, dtype=np.int64)
-            order = np.argsort(differ, kind="stable")
-            order = order[: np.searchsorted(differ[order], bits, side="right")]
-            for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+            close = np.bitwise_count(words[left] ^ words[right]).sum(1, dtype=np.int64) <= bits
+            for i, j in zip(left[close].tolist(), right[close].tolist(), strict=True):
                 if (x := find(i)) != (y := find(j)):
                     root[max(x, y)] = min(x, y)
                     out.append((j, i))
@@ -156,296 +181,233 @@ def forest(fps: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarr
     return np.array(j, np.int64), np.array(i, np.int64)
 
 
-def _columns(positions: int) -> str:
-    return f"hot int, a bigint, b bigint, key bigint, fp {'bigint' if positions == POSITIONS else 'binary'}"
+def _compared(bits: int):
+    """Rows set, head, rep, fingerprint in the order of the first two -> links ``a, b``. Holds one
+    list, and a batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 4), np.int64)
 
-def _lists(positions: int, least: int, bits: int, local: int):
-    """Rows key, fingerprint, document in key order -> links ``a, b`` (hot 0) and, of lists longer
-    than ``local``, their members ``a, fp`` (hot 1). Holds one list up to ``local``, and a batch."""
-    narrow = positions == POSITIONS
-
-    def out(hot: int, a: np.ndarray, b: np.ndarray, key: np.ndarray, fps: np.ndarray | None = None) -> pa.RecordBatch:
-        if fps is None:
-            fp = pa.nulls(len(a), pa.int64() if narrow else pa.binary())
-        else:
-            fp = pa.array(np.ascontiguousarray(fps).view("<i8").ravel()) if narrow else pa.array([f.tobytes() for f in fps], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hot, np.int32)), pa.array(a), pa.array(b), pa.array(key), fp], names=["hot", "a", "b", "key", "fp"])
+        def tied(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            rows = rows[np.argsort(rows[:, 2])]
+            j, i = forest(np.ascontiguousarray(rows[:, 3:]).view(np.uint8), POSITIONS - bits, bits)
+            return rows[j, 2], rows[i, 2]
 
-    def tied(docs: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(docs)
-        j, i = forest(fps[order], least, bits)
-        return docs[order][j], docs[order][i]
+        def out(found: list) -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, positions), np.uint8)
-        long_key = None  # of the list whose members are passed on as they come
         for batch in batches:
-            more = batch.column(1)
-            data = more.to_numpy(zero_copy_only=False).astype("<i8").tobytes() if narrow else b"".join(more.to_pylist())
-            key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-            docs = np.concatenate([docs, batch.column(2).to_numpy(zero_copy_only=False)])
-            fps = np.concatenate([fps, np.frombuffer(data, np.uint8).reshape(-1, positions)])
-            if not len(key):
-                continue
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            several = np.flatnonzero((np.diff(starts) > 1) | (key[starts[:-1]] == long_key)) if long_key is not None else np.flatnonzero(np.diff(starts) > 1)
-            found = []
-            for s, e in zip(starts[several].tolist(), starts[several + 1].tolist(), strict=True):
-                if key[s] == long_key or e - s > local:
-                    yield out(1, docs[s:e], docs[s:e], key[s:e], fps[s:e])
-                else:
-                    found.append(tied(docs[s:e], fps[s:e]))
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield out(0, a, b, np.zeros(len(a), np.int64))
-            key, docs, fps = (x[starts[-1] :] for x in (key, docs, fps))
-            if key[0] == long_key or len(key) > local:
-                long_key = key[0]
-                yield out(1, docs, docs, key, fps)
-                key, docs, fps = key[:0], docs[:0], fps[:0]
-        if len(key) > 1:
-            a, b = tied(docs, fps)
-            yield out(0, a, b, np.zeros(len(a), np.int64))
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)])
+            starts = np.flatnonzero(np.concatenate(([True], (held[1:, :2] != held[:-1, :2]).any(1)))) if len(held) else []
+            if found := [tied(held[s:e]) for s, e in zip(starts[:-1], starts[1:], strict=True) if e - s > 1]:
+                yield out(found)
+            held = held[starts[-1] :] if len(held) else held
+        if len(held) > 1:
+            yield out([tied(held)])
 
     return run
 
 
-def _linked(postings: DataFrame, positions: int, least: int, bits: int, local: int) -> DataFrame:
-    """``postings`` has key, fingerprint and document; staged rows as ``_lists`` gives them."""
-    dealt = postings.repartition("key").sortWithinPartitions("key")
-    return staged(dealt.mapInArrow(_lists(positions, least, bits, local), _columns(positions)), "postings")
+def _values(bits: int):
+    """Members of long lists -> the values that differ from each in at most half of ``bits``, the
+    upper half, at positions outside the list's set; ``inner`` where it is the lower half."""
+    low, high = bits // 2, -(-bits // 2)
+
+    def masks(held: int) -> tuple[np.ndarray, np.ndarray]:
+        places = [8 * p + k for p in range(POSITIONS) if not held >> p & 1 for k in range(8)]
+        picked = [c for n in range(high + 1) for c in combinations(places, n)]
+        return np.array([sum(1 << i for i in c) for c in picked], np.uint64).view(np.int64), np.array([len(c) <= low for c in picked])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for held, head, rep, fp in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True):
+                mask, inner = known[held] if held in known else known.setdefault(held, masks(held))
+                same = [pa.array(np.full(len(mask), x, t)) for x, t in ((held, np.int32), (head, np.int64), (rep, np.int64))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(fp ^ mask), pa.array(inner)], names=["set", "head", "rep", "value", "inner"])
+
+    return run
 
 
-def links(classes: DataFrame, bits: int = BITS, local: int = LOCAL_LIST, size: int | None = None) -> DataFrame:
+def links(classes: DataFrame, bits: int = BITS, local: int = LOCAL_LIST) -> DataFrame:
     """``classes`` has one row per distinct fingerprint, ``_fp`` and its least document ``rep``.
-    Gives pairs ``a, b`` of such documents that tie together what is within ``bits``."""
-    if size is None:
-        size = 3 if classes.count() <= TRIPLES_UP_TO else 4
-    postings = classes.select(F.explode(posting_keys(F.col("_fp"), size)).alias("key"), "_fp", "rep")
-    found = _linked(postings, POSITIONS, POSITIONS - bits, bits, local)
-    near = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i in range(64) for j in range(i))]
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in near])
-    hot, pairs = found.where("hot = 1"), found.where("hot = 0").select("a", "b")
-    if hot.isEmpty():
-        return pairs.distinct()
-    sent = hot.select("key", F.col("a").alias("rep"), F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    least = sent.groupBy("key", "value").agg(F.min("rep").alias("b"))
-    return pairs.union(sent.join(least, ["key", "value"]).select(F.col("rep").alias("a"), "b").where("a <> b")).distinct()
-
-
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """512-bit SimHash of a set of shingles, given their hashes."""
-    hashes = hashes.view(np.uint64)
-    if not len(hashes):
-        return bytes(WIDE_POSITIONS)
-    ones = np.zeros(8 * WIDE_POSITIONS, np.int64)
-    for at in range(0, len(hashes), 8192):
-        mixed = (hashes[at : at + 8192, None] ^ _SALTS) * np.uint64(0xFF51AFD7ED558CCD)
-        mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        ones += np.unpackbits((mixed ^ (mixed >> np.uint64(29))).view(np.uint8).reshape(-1, WIDE_POSITIONS), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes)).tobytes()
-
-
-def wide_position_sets() -> np.ndarray:
-    """Triples of positions: for each of several strides the positions in that order, by threes."""
-    out = []
-    for stride in WIDE_STRIDES:
-        order = [(i * stride) % WIDE_POSITIONS for i in range(WIDE_POSITIONS)]
-        out += [order[i : i + 3] for i in range(0, WIDE_POSITIONS - 2, 3)]
-    return np.array(out)
-
-
-def _wide_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets = wide_position_sets()
-    for batch in batches:
-        fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, WIDE_POSITIONS)
-        for at in range(0, len(fps), 2048):
-            part = fps[at : at + 2048][:, sets].astype(np.int64)
-            keys = (np.arange(len(sets)) << 24) | (part[:, :, 0] << 16) | (part[:, :, 1] << 8) | part[:, :, 2]
-            reps = batch.column(1).to_numpy(zero_copy_only=False)[at : at + 2048]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(reps, len(sets)))], names=["key", "rep"])
-
-
-def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in key order those whose key is not theirs alone. Holds one row, and a batch."""
-    key, rep, known = np.empty(0, np.int64), np.empty(0, np.int64), False
-    for batch in batches:
-        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-        rep = np.concatenate([rep, batch.column(1).to_numpy(zero_copy_only=False)])
-        if not len(key):
+    Gives pairs ``a, b`` of such documents, all within ``bits``, that tie together all that is."""
+    with scratch() as keep:
+        return keep(staged(_links(classes, bits, local).distinct(), "links"))
+
+
+def _links(classes: DataFrame, bits: int, local: int) -> DataFrame:
+    posted, size = _posted(classes, bits), len(position_sets(bits)[0])
+    found = None
+    while True:
+        several = posted.groupBy("set", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        lists = staged(posted.join(several, ["set", "head"]), "postings")
+        dealt = lists.where(F.col("n") <= local).select("set", "head", "rep", "_fp").repartition("set", "head").sortWithinPartitions("set", "head")
+        near = dealt.mapInArrow(_compared(bits), "a bigint, b bigint")
+        found = near if found is None else found.union(near)
+        hot = lists.where(F.col("n") > local).select("set", "head", "rep", "_fp")
+        if hot.isEmpty():
+            return found
+        if size < POSITIONS - bits:
+            posted, size = _refined(hot), size + 1
             continue
-        same = key[1:] == key[:-1]
-        shared = np.concatenate(([known], same)) | np.concatenate((same, [False]))
-        # the last row waits for what comes next, unless it is known to be shared
-        last = len(key) - 1
-        take = shared[:last]
-        yield pa.RecordBatch.from_arrays([pa.array(key[:last][take]), pa.array(rep[:last][take])], names=["key", "rep"])
-        known = bool(shared[last])
-        key, rep = key[last:], rep[last:]
-    if len(key) and known:
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep)], names=["key", "rep"])
-
-
-def wide_links(classes: DataFrame, local: int = LOCAL_LIST) -> DataFrame:
-    """As ``links``, for 512-bit fingerprints and a similarity of ``WIDE_BITS``. Not complete."""
-    wide = classes.select(F.substring("_fp", 1, WIDE_POSITIONS).alias("_fp"), "rep")
-    rows = wide.mapInArrow(_wide_postings, "key bigint, rep bigint").repartition("key").sortWithinPartitions("key")
-    shared = staged(rows.mapInArrow(_repeated_keys, "key bigint, rep bigint"), "shared")
-    postings = shared.join(wide, "rep").select("key", "_fp", "rep")
-    found = _linked(postings, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS, local)
-    hot, pairs = found.where("hot = 1"), found.where("hot = 0").select("a", "b")
-    if hot.isEmpty():
-        return pairs.distinct()
-    # longer lists are cut into blocks by document, and each pair of blocks is one list
-    sized = hot.join(hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 4 / local).alias("n")), "key")
-    block = F.pmod(F.xxhash64("a"), F.col("n"))
-    paired = sized.select("key", "a", "fp", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    blocks = paired.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp", "a")
-    return pairs.union(_linked(blocks, WIDE_POSITIONS, WIDE_TALLY, WIDE_BITS, 1 << 62).select("a", "b")).distinct()
+        sent = hot.mapInArrow(_values(bits), "set int, head bigint, rep bigint, value bigint, inner boolean")
+        least = sent.where("inner").groupBy("set", "head", "value").agg(F.min("rep").alias("b"))
+        tied = sent.join(least, ["set", "head", "value"]).select(F.col("rep").alias("a"), "b").where("a <> b")
+        return found.union(tied)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, shingle: int = SHINGLE, local: int = LOCAL_LIST) -> DataFrame:
     """One row ``doc_id, fingerprint, component_id`` for each row of ``df``."""
-    prints, classes = _classes(df, text, doc_id, lambda t: np.int64(np.uint64(fingerprint(t, shingle)).astype(np.int64)), "bigint")
-    named = _named(classes, links(classes.where("rep is not null"), bits, local))
-    return prints.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", local: int = LOCAL_LIST, similarity: float = 0.8) -> DataFrame:
-    """One row ``doc_id, component_id`` for each row of ``df``: texts whose sets of five-word
-    shingles have at least this similarity are in one component, named by its least doc_id."""
-    plain = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    prints = staged(plain.mapInArrow(_sets(common_shingles(plain), similarity), "doc_id bigint, _fp binary, n int, bits array<bigint>, prefix array<bigint>"), "fingerprints")
-    classes = prints.groupBy("_fp").agg(F.min("doc_id").alias("rep"))
-    close = staged(verified(plain, wide_links(classes.where("rep is not null"), local), similarity), "verified")
-    # those links are neither all candidates nor, being a forest of them, all that verification keeps
-    named = staged(_named(classes, close).join(classes, "_fp"), "parts")
-    release(df.sparkSession)
-    members = prints.join(named, "_fp").where("doc_id = rep").select("rep", F.col("component_id").alias("part"), "n", "bits", "prefix")
-    rows = members.select("rep", "part", "n", F.posexplode("prefix").alias("at", "key")).repartition("key").sortWithinPartitions("key")
-    postings = staged(rows.select("key", "rep", "part", "n", "at").mapInArrow(_mixed_lists(local), "key bigint, rep bigint, part bigint, n int, at int"), "mixed")
-    pairs = staged(apart(postings.join(members.select("rep", "bits"), "rep"), similarity), "apart")
-    release(df.sparkSession)
-    # one pair of each two components first; what then still lies apart is verified in full
-    first = staged(verified(plain, pairs.groupBy("xpart", "ypart").agg(F.min_by(F.struct("a", "b"), F.struct("unlike", "a", "b")).alias("p")).select("p.*"), similarity), "verified")
-    close = close.union(first)
-    part = staged(connected_components(close), "parts")
-    for side in "ab":
-        pairs = pairs.join(part.select(F.col("node").alias(side), F.col("component").alias(f"{side}part")), side, "left")
-    rest = pairs.where(F.coalesce("apart", "a") != F.coalesce("bpart", "b")).select("a", "b")
-    return prints.join(_named(classes, close.union(verified(plain, rest, similarity))), "_fp").select("doc_id", "component_id")
+    plain = df.select(integer(df, doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with scratch() as keep:
+        prints = staged(with_fingerprints(plain, lambda t: _signed(fingerprint(t, shingle)), "bigint"), "fingerprints")
+        classes = prints.groupBy("_fp").agg(F.min("doc_id").alias("rep"))
+        parts = connected_components(links(classes.where("rep is not null"), bits, local))
+        named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("_fp", F.coalesce("component", "rep").alias("component_id"))
+        out = prints.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+        return keep(staged(out, "near-duplicates"))
 
 
-def common_shingles(plain: DataFrame) -> np.ndarray:
-    """Hashes of shingles that many texts of a sample have, rarest first; at most ``COMMON`` of
-    them. They only set the order of shingles: any order is exact, and this one keeps lists short."""
+# -- groups by similarity of shingle sets ------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0).cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py()))], names=["h"])
-
-    step = max(1, plain.count() // SAMPLED)
-    some = plain.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text")
-    counted = some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= SAMPLED // 1024)
-    return np.array([r.h for r in counted.orderBy(F.desc("count"), "h").limit(COMMON).collect()], np.int64)[::-1]
-
-
-def prefix(hashes: np.ndarray, names: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a set, in an order of all shingles (not in ``names``; then by rank), such that
-    sets of at least this similarity have one of them in common. ``names`` is sorted."""
-    rank = np.zeros(len(hashes), np.int64)
-    if len(names):
-        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-        rank = np.where(names[at] == hashes, ranks[at], 0)
-    order = np.lexsort((hashes, rank))
-    return hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]]
 
+def shingle_hashes(text: bytes | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's set of word shingles (fewer words: the whole sequence;
+    none: none)."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    return np.unique(rolled(word_hashes(words), min(shingle, len(words))).view(np.int64))
 
-def _sets(common: np.ndarray, similarity: float):
-    """For each text its SimHash and a digest of its set of shingles, the set's size, the parities
-    of how many of the set fall on each of ``PARITIES`` places, and the set's prefix."""
-    names, ranks = np.sort(common), np.argsort(common) + 1
+
+def shingle_counts(plain: DataFrame, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """How many documents hold a shingle of each cell, over all documents: ``CELLS`` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, sizes, bits, firsts = [], [], [], []
-            for t in batch.column(1).cast(pa.binary()):
-                hashes = shingle_hashes(t.as_py())
-                fps.append(wide_fingerprint(hashes) + xxhash.xxh3_128_digest(np.sort(hashes).tobytes()))
-                sizes.append(len(hashes))
-                bits.append(np.packbits(np.bincount(hashes & (PARITIES - 1), minlength=PARITIES) & 1).view(np.int64))
-                firsts.append(prefix(hashes, names, ranks, similarity))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, longs), pa.array(firsts, longs)], names=["doc_id", "_fp", "n", "bits", "prefix"])
+        held = np.zeros(CELLS, np.int64)
+        for batch in pieces(batches):
+            sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(0).cast(pa.binary())]
+            held += np.bincount(np.concatenate(sets) & (CELLS - 1), minlength=CELLS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["at", "n"])
+
+    found = plain.select("text").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out
 
-    return run
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set, in an order of all shingles (by their cell's count, then by hash), such
+    that sets of at least this similarity have one of them in common."""
+    order = np.lexsort((hashes, counts[hashes & (len(counts) - 1)]))
+    return hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]]
 
 
-def _mixed_lists(local: int):
-    """Of rows in key order those of lists with several values of ``part``, and of lists longer
-    than ``local``. Holds one list up to ``local``, and a batch."""
+def _parities(hashes: np.ndarray, places: int) -> np.ndarray:
+    return np.packbits(np.bincount((hashes >> 20) & (places - 1), minlength=places) & 1).view(np.int64)
+
+
+def _sets(counts: np.ndarray, similarity: float, shingle: int):
+    """For each text its SimHash and a digest of its set of shingles, the set's size, the parities
+    of how many of the set fall on each of ``PARITIES`` places, and the set's prefix."""
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, long_key = None, None  # the last list so far; one whose rows are passed on as they come
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-            key, part = (table.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            take = (np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)) | (key[starts] == long_key)
-            if key[-1] == long_key or len(key) - starts[-1] > local:
-                take[-1], long_key, last = True, key[-1], len(key)
-            else:
-                last = starts[-1]
-            yield table.filter(pa.array(np.repeat(take, np.diff(np.append(starts, len(key)))) & (np.arange(len(key)) < last)))
-            held = pa.RecordBatch.from_arrays([pa.array(c.to_numpy(zero_copy_only=False)[last:]) for c in table.columns], schema=table.schema) if last < len(key) else None
-        if held is not None:
-            part = held.column(2).to_numpy(zero_copy_only=False)
-            if part.min() != part.max():
-                yield held
+        for batch in pieces(batches):
+            rows = []
+            for t in batch.column(1).cast(pa.binary()):
+                h = shingle_hashes(t.as_py(), shingle)
+                rows.append((_signed(majority(h.view(np.uint64))) if len(h) else 0, xxhash.xxh3_128_digest(h.tobytes()), len(h), _parities(h, PARITIES), prefix(h, counts, similarity)))
+            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int32(), longs, longs))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "_fp", "digest", "n", "bits", "prefix"])
 
     return run
 
 
-def apart(postings: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs ``a, b`` that share a key, are of different ``part`` and can be that similar,
-    with both parts and the number of unlike parities.
-    Both tests are bounds, so no similar pair is lost: a set of ``n`` shares at most the ``n - at``
-    from the key on, and sets differ in at least as many members as they have unlike parities."""
-    x, y = (postings.select("key", *(F.col(c).alias(side + c) for c in ("rep", "part", "n", "at", "bits"))) for side in "xy")
+def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, local: int = LOCAL_LIST) -> DataFrame:
+    """One row ``doc_id, component_id`` for each row of ``df``: texts whose sets of shingles have
+    at least this similarity are in one component, named by its least doc_id."""
+    with scratch() as keep:
+        return keep(staged(_groups(df, text, doc_id, similarity, shingle, local), "groups"))
+
+
+def _groups(df: DataFrame, text: str, doc_id: str, similarity: float, shingle: int, local: int) -> DataFrame:
+    spark = df.sparkSession
+    plain = df.select(integer(df, doc_id).alias("doc_id"), F.col(text).alias("text"))
+    made = "doc_id bigint, _fp bigint, digest binary, n int, bits array<bigint>, prefix array<bigint>"
+    prints = staged(plain.mapInArrow(_sets(shingle_counts(plain, shingle), similarity, shingle), made), "fingerprints")
+    classes = staged(prints.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    members = staged(prints.join(classes.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "_fp", "n", "bits", "prefix"), "members")
+    # SimHash links, and classes of one fingerprint
+    fps = members.groupBy("_fp").agg(F.min("rep").alias("rep"))
+    equal = members.select("_fp", F.col("rep").alias("a")).join(fps.withColumnRenamed("rep", "b"), "_fp").where("a <> b").select("a", "b")
+    close = verified(plain, links(fps, local=local).union(equal), similarity, shingle)
+    release(spark)
+    part = connected_components(close)
+    parted = members.join(part, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("part"), "n", "bits", "prefix")
+    pairs = apart(parted, similarity)
+    discard(members)
+    release(spark)
+    # one pair of each two components first; what then still lies apart is verified in full
+    first = pairs.groupBy("apart", "bpart").agg(F.min_by(F.struct("a", "b"), F.struct("unlike", "a", "b")).alias("p")).select("p.*")
+    close = close.union(verified(plain, first, similarity, shingle))
+    part = connected_components(close)
+    for side in "ab":
+        now = part.select(F.col("node").alias(side), F.col("component").alias(f"{side}now"))
+        pairs = pairs.join(now, side, "left")
+    rest = pairs.where(F.coalesce("anow", "a") != F.coalesce("bnow", "b")).select("a", "b")
+    part = connected_components(close.union(verified(plain, rest, similarity, shingle)))
+    named = classes.join(part, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+
+
+def apart(parted: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``a, b`` that share a key of their prefixes, are of different ``part`` and can
+    be that similar, with both parts and the number of unlike parities. Both tests are bounds, so
+    no similar pair is lost: a set of ``n`` shares at most the ``n - at`` from the key on, and sets
+    differ in at least as many members as they have unlike parities."""
+    with scratch() as keep:
+        return keep(staged(_apart(parted, similarity), "apart"))
+
+
+def _apart(parted: DataFrame, similarity: float) -> DataFrame:
+    parts = parted.select("part", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"))
+    posted = parted.select("rep", F.posexplode("prefix").alias("at", "key")).join(parts.where("x <> y").select("key"), "key")
+    lists = staged(posted.join(parted.select("rep", "part", "n", "bits"), "rep"), "mixed")
+    # the part that has most of a list: of each pair of parts, one is another
+    sizes = lists.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "part")).alias("m"))
+    lists = lists.join(sizes.select("key", F.col("m.part").alias("most")), "key")
+    x, y = (lists.select("key", *(F.col(c).alias(side + c) for c in ("rep", "part", "n", "at", "bits", "most"))) for side in "xy")
     need = (F.col("xn") + F.col("yn")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
     room = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))
     unlike = sum((F.bit_count(F.col("xbits")[i].bitwiseXOR(F.col("ybits")[i])) for i in range(PARITIES // 64)), F.lit(0))
-    both = x.join(y, "key").where((F.col("xrep") < F.col("yrep")) & (F.col("xpart") != F.col("ypart")) & (room >= need))
-    return both.where(unlike <= F.col("xn") + F.col("yn") - 2 * need).select(F.col("yrep").alias("a"), F.col("xrep").alias("b"), "xpart", "ypart", unlike.alias("unlike")).distinct()
-
-
-def shingle_hashes(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """Hashes of a text's set of word shingles (fewer words: the whole sequence; none: none)."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    digest = xxhash.xxh64_intdigest
-    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    return np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64)
+    both = x.where("xpart <> xmost").join(y, "key").where((F.col("xpart") != F.col("ypart")) & (room >= need))
+    both = both.where(unlike <= F.col("xn") + F.col("yn") - 2 * need).withColumn("unlike", unlike)
+    sides = [F.struct(F.col(f"{s}rep").alias("rep"), F.col(f"{s}part").alias("part")) for s in "xy"]
+    return both.select(F.greatest(*sides).alias("u"), F.least(*sides).alias("v"), "unlike").select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b"), F.col("u.part").alias("apart"), F.col("v.part").alias("bpart"), "unlike").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """Those of ``pairs`` whose texts' shingle sets have at least this Jaccard similarity. Only
     documents of a pair are hashed; their sets travel once per pair that ``MARKS`` parities allow."""
+    with scratch() as keep:
+        return keep(staged(_verified(docs, pairs, similarity, shingle), "verified"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes(t.as_py()) for t in batch.column(1).cast(pa.binary())]
-            marks = [np.packbits(np.bincount(h & (MARKS - 1), minlength=MARKS) & 1).view(np.int64) for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in (sets, marks))], names=["doc_id", "grams", "marks"])
+        for batch in pieces(batches):
+            sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, longs), pa.array([_parities(h, MARKS) for h in sets], longs)], names=["doc_id", "grams", "marks"])
 
     pairs = staged(pairs, "candidates")
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(docs.join(named, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, grams array<bigint>, marks array<bigint>"), "shingles")
+    sets = staged(only(docs.select("doc_id", "text"), named, "doc_id").mapInArrow(run, "doc_id bigint, grams array<bigint>, marks array<bigint>"), "shingles")
     size = sets.select("doc_id", F.size("grams").alias("n"), "marks")
     a, b = (size.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}n"), F.col("marks").alias(f"{c}marks")) for c in "ab")
     unlike = F.aggregate(F.zip_with("amarks", "bmarks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
@@ -453,17 +415,4 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     pairs = staged(pairs.join(a, "a").join(b, "b").where(unlike <= bound).select("a", "b"), "candidates")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    enough = shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)
-    return both.where(enough).select("a", "b")
-
-
-def _classes(df: DataFrame, text: str, doc_id: str, of: Callable, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints of all rows, and the distinct ones with their least document."""
-    plain = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    prints = staged(with_fingerprints(plain, of, kind), "fingerprints")
-    return prints, prints.groupBy("_fp").agg(F.min("doc_id").alias("rep"))
-
-
-def _named(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    parts = connected_components(pairs)
-    return classes.join(parts, F.col("rep") == F.col("node"), "left").select("_fp", F.coalesce("component", "rep").alias("component_id"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - F.lit(1e-9)).select("a", "b")

@@ -40,11 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.staging import extend, release, staged
+from tidemark.llm.staging import extend, keyed, pieces, release, scratch, staged, unused
 
 LENGTH, GRAM = 100, 32
-#: bytes worked on at a time; positions within fit the 20 low bits of an order value
-CHUNK = 1 << 20
+#: bytes worked on at a time; positions within fit the low bits of an order value
+CHUNK = 1 << 19
 _LOW = np.uint64(CHUNK - 1)
 RESULT = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
 
@@ -139,7 +139,7 @@ _ROWS = "k1 bigint, k2 bigint, doc bigint, run bigint"
 
 def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
-    docs = ((d, t or b"") for batch in batches for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    docs = ((d, t or b"") for batch in pieces(batches) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     for data, ends, ids, offsets in chunks(docs):
         k1, anchor, first, last = runs(np.frombuffer(data, np.uint8), ends)
         k2 = np.fromiter((digest(data[a:b], p) for a, b, p in zip(first.tolist(), (last + LENGTH).tolist(), (anchor - first).tolist(), strict=True)), np.uint64, len(k1))
@@ -154,7 +154,7 @@ def _part_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
     width = LENGTH - GRAM + 1
     edges = [width * i // 4 for i in range(5)]
-    for batch in batches:
+    for batch in pieces(batches):
         rows: list[tuple[int, int, int, int]] = []
         for doc, text, unsettled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for run in unsettled:
@@ -198,12 +198,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(docs[at]), pa.array(np.where(again[at], ~run, run))], names=["k1", "k2", "doc", "run"])
 
     held, size = [], 0
-    for batch in batches:
+    for batch in pieces(batches):
         for doc, text, unsettled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             starts = np.unique(np.concatenate([np.arange(r >> 14, (r >> 14) + (r >> 7 & 127) + 1) for r in unsettled]))
             held.append((doc, text, starts))
             size += len(text) + 8 * len(starts)
-            if size > 4 * CHUNK:
+            if size > 2 * CHUNK:
                 yield flush(held)
                 held, size = [], 0
     if held:
@@ -289,7 +289,6 @@ def covered_runs(docs: DataFrame) -> list[DataFrame]:
     whole = _settled(docs.select("doc", "text").mapInArrow(_all_runs, _ROWS), "runs")
     parts = of(whole, _part_runs, "parts")
     windows = of(parts, _windows, "windows")
-    release(docs.sparkSession)
     return [whole, parts, windows]
 
 
@@ -312,34 +311,28 @@ def _cut(text: bytes, covered: list[int] | None) -> tuple[bytes, int, int]:
     return b"".join(left), int((end - begin).sum()), len(begin)
 
 
-def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``df`` with ``_doc``: the doc_id where it names each row, else a number in the same order."""
-    df = df.withColumn("_doc", F.col(doc_id).cast("bigint"))
-    if df.groupBy("_doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _doc is null").isEmpty():
-        return df
-    ordered = df.orderBy(F.col("_doc").asc_nulls_last(), text, *[c for c in df.columns if c not in ("_doc", text)])
-    return staged(ordered.withColumn("_doc", F.monotonically_increasing_id()), "keyed")
-
-
 def dedup_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, kept_text: bool = False) -> DataFrame:
     """``df`` (its columns ``keep``; all without it) with ``RESULT``; with ``kept_text``, its text
     column has what is left, without bytes that no longer form a character."""
     keep = [c for c in keep or df.columns if c not in RESULT]
-    df = keyed(df, doc_id, text)
-    docs = df.select(F.col("_doc").alias("doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    found = covered_runs(docs)
-    spans = found[0].where("covered = 1")
-    for level in found[1:]:
-        spans = spans.union(level.where("covered = 1"))
-    spans = spans.groupBy("doc").agg(F.collect_list("run").alias("_runs")).withColumnRenamed("doc", "_at")
-    joined = df.select("_doc", *dict.fromkeys([*keep, text])).join(spans, F.col("_doc") == F.col("_at"), "left").drop("_doc", "_at")
+    df, key = keyed(df, doc_id, text)
+    at, runs_of = unused(df, "_at", "_runs")
+    docs = df.select(F.col(key).alias("doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    with scratch() as stays:
+        found = covered_runs(docs)
+        spans = found[0].where("covered = 1")
+        for level in found[1:]:
+            spans = spans.union(level.where("covered = 1"))
+        spans = stays(staged(spans.groupBy("doc").agg(F.collect_list("run").alias(runs_of)).withColumnRenamed("doc", at), "spans"))
+    release(df.sparkSession)
+    joined = df.select(key, *dict.fromkeys([*keep, text])).join(spans, F.col(key) == F.col(at), "left").select(*dict.fromkeys([*keep, text]), runs_of)
     schema = extend(df.select(*keep).schema, RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             texts = col[text].cast(pa.binary()).to_pylist()
-            cuts = [_cut(t or b"", r) for t, r in zip(texts, col["_runs"].to_pylist(), strict=True)]
+            cuts = [_cut(t or b"", r) for t, r in zip(texts, col[runs_of].to_pylist(), strict=True)]
             made = {
                 "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()),
                 "n_removed": pa.array([n for _, n, _ in cuts], pa.int64()),
