@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, quality, sentencepiece_codec, simhash, suffix_dedup
-from tidemark.llm.staging import release, staged
+from tidemark.llm.staging import keyed, release, staged
 
 #: SQL cannot express fitted models, encoding or connected components; tests use brute force
 ORACLE_SQL = None
@@ -29,10 +29,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the least doc_id stays."""
-    rows = suffix_dedup.keyed(docs, "doc_id", "text")
-    groups = simhash.similar_groups(rows, doc_id="_doc")
-    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc"))
-    return rows.join(others, "_doc", "left_anti").select(*docs.columns)
+    rows, key = keyed(docs, "doc_id", "text")
+    groups = simhash.similar_groups(rows, doc_id=key)
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    return rows.join(others, key, "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
