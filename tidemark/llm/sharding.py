@@ -126,37 +126,34 @@ def _sums(groups: DataFrame, ranges: list[tuple[int, int]], total_bits: int) ->
 
 
 def shard_documents(df: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` with the columns ``RESULT``; shard sizes differ by as little as atomic groups allow."""
-    keep = [c for c in df.columns if c not in RESULT]
+    """``df`` but for its text, with the columns ``RESULT``; shard sizes differ by as little as atomic
+    groups allow."""
+    keep = [c for c in df.columns if c not in RESULT and c != text]
     spark, size = df.sparkSession, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
     # the texts are read once; all that follows works on keys and sizes
-    base = staged(df.select(*keep_small(keep, text), group_key(F.col(text)).alias("_key"), size.alias("size"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).alias("text_crc32"), F.pmod(F.xxhash64(doc_id), F.lit(SLOT_SALTS)).cast("int").alias("_salt")), "sharding")
-    cuts = cut_keys(base.select(F.col("_key").alias("key"), "size"), shards)
+    kept = F.struct(*keep) if keep else F.lit(None).cast("string")
+    base = staged(df.select(kept.alias("kept"), F.col(doc_id).alias("id"), group_key(F.col(text)).alias("key"), size.alias("size"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).alias("text_crc32"), F.pmod(F.xxhash64(doc_id), F.lit(SLOT_SALTS)).cast("int").alias("salt")), "sharding")
+    cuts = cut_keys(base.select("key", "size"), shards)
     shard = F.lit(0)
     for c in cuts:
-        shard = shard + (F.col("_key") > F.lit(c)).cast("int")
-    base = base.withColumn("shard", shard.cast("int")).withColumn("_cell", F.shiftright("_key", KEY_BITS - SLOT_CELLS.bit_length() + 1).cast("int"))
-    cell = ["shard", "_cell", "_salt"]
+        shard = shard + (F.col("key") > F.lit(c)).cast("int")
+    base = base.withColumn("shard", shard.cast("int")).withColumn("cell", F.shiftright("key", KEY_BITS - SLOT_CELLS.bit_length() + 1).cast("int"))
+    cell = ["shard", "cell", "salt"]
     # at most (SLOT_CELLS + shards) * SLOT_SALTS rows, so this broadcast has a fixed bound
     counts = base.groupBy(*cell).count().collect()
     starts, seen = [], {}
-    for r in sorted(counts, key=lambda r: (r["shard"], r["_cell"], r["_salt"])):
-        starts.append((r["shard"], r["_cell"], r["_salt"], seen.get(r["shard"], 0)))
+    for r in sorted(counts, key=lambda r: (r["shard"], r["cell"], r["salt"])):
+        starts.append((r["shard"], r["cell"], r["salt"], seen.get(r["shard"], 0)))
         seen[r["shard"]] = seen.get(r["shard"], 0) + r["count"]
-    first = spark.createDataFrame(starts, "shard int, _cell int, _salt int, _first bigint")
-    row = F.row_number().over(Window.partitionBy(*cell).orderBy("_key", F.col(doc_id).asc_nulls_last()))
-    numbered = base.withColumn("_row", row).join(F.broadcast(first), cell)
+    first = spark.createDataFrame(starts, "shard int, cell int, salt int, first bigint")
+    row = F.row_number().over(Window.partitionBy(*cell).orderBy("key", F.col("id").asc_nulls_last()))
+    numbered = base.withColumn("row", row).join(F.broadcast(first), cell)
     return numbered.select(
-        *keep_small(keep, text),
+        *[F.col("kept").getField(c).alias(c) for c in keep],
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("_first") + F.col("_row") - 1).alias("slot"),
+        (F.col("first") + F.col("row") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def keep_small(keep: list[str], text: str) -> list[str]:
-    """All columns but the text, which the shard assignment does not carry."""
-    return [c for c in keep if c != text]
