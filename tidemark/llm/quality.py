@@ -6,9 +6,9 @@ class log-count ratio, documents are scaled to unit length, and a linear hinge-l
 fitted by dual coordinate descent and mixed with the ratios themselves. Margins of folds left
 out are calibrated to probabilities.
 
-It is fitted on at most ``SAMPLE_ROWS`` labelled rows (the bound is this parameter) that the
-caller's condition allows; scoring reads whole texts of all documents, and the model is an array
-of fixed size.
+It is fitted on at most ``SAMPLE_ROWS`` labelled rows, and of these on as many as have at most
+``SAMPLE_BYTES`` of features (these bounds are parameters), that the caller's condition allows;
+scoring reads whole texts of all documents, and the model is an array of fixed size.
 
 Defined cases: null and empty texts are scored by the intercept; rows without doc_id are scored
 and never learned from; labels other than 0 and 1 are left out; without labels of both classes
@@ -28,7 +28,7 @@ from tidemark.llm.ngrams import Hasher, calibrate, fold_of, labelled_sample, sam
 
 SAMPLE_ROWS, BITS, ORDER = 8000, 20, 2
 PATTERN = r"\w+|[^\w\s]+"
-COST, MIX, SMOOTH, FOLDS = 1.0, 0.75, 1.0, 3
+COST, MIX, SMOOTH, FOLDS, ROUNDS = 1.0, 0.75, 1.0, 3, 60
 RESULT = ("held_out", "score", "predicted")
 
 
@@ -40,28 +40,35 @@ def log_count_ratios(rows: list[np.ndarray], label: np.ndarray, size: int) -> np
     return np.log(p[1] / p[0])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, size: int, cost: float = COST, rounds: int = 30) -> np.ndarray:
-    """Weights of the L2-regularised squared-hinge model; the last one is the intercept. Classes
-    weigh the same in sum."""
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, size: int, cost: float = COST, rounds: int = ROUNDS, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the L2-regularised hinge-loss model, the last one the intercept, and the dual
+    variables, each between 0 and its row's cost. Classes weigh the same in sum. Ends when no dual
+    variable can improve by more than ``gap`` of its gradient."""
     sign = np.where(label == 1, 1.0, -1.0)
     rate = label.mean()
-    weight = np.where(label == 1, 0.5 / rate, 0.5 / (1 - rate)) * cost
+    most = np.where(label == 1, 0.5 / rate, 0.5 / (1 - rate)) * cost
     w, alpha, rng = np.zeros(size + 1), np.zeros(len(rows)), np.random.default_rng(0)
-    square = np.array([v @ v + 1 for v in values]) + 0.5 / weight
+    square = np.array([v @ v + 1 for v in values])
     for _ in range(rounds):
         largest = 0.0
         for i in rng.permutation(len(rows)).tolist():
             x, v, s = rows[i], values[i], sign[i]
-            gradient = s * (w[x] @ v + w[size]) - 1 + alpha[i] * 0.5 / weight[i]
-            new = max(alpha[i] - gradient / square[i], 0.0)
-            if (step := new - alpha[i]) != 0.0:
-                w[x] += step * s * v
-                w[size] += step * s
-                alpha[i] = new
-                largest = max(largest, abs(step))
-        if largest < 1e-3:
+            gradient = s * (w[x] @ v + w[size]) - 1
+            # what of it leads into the box
+            if alpha[i] == 0:
+                gradient = min(gradient, 0.0)
+            elif alpha[i] == most[i]:
+                gradient = max(gradient, 0.0)
+            if gradient == 0.0:
+                continue
+            largest = max(largest, abs(gradient))
+            new = min(max(alpha[i] - gradient / square[i], 0.0), most[i])
+            step, alpha[i] = new - alpha[i], new
+            w[x] += step * s * v
+            w[size] += step * s
+        if largest < gap:
             break
-    return w
+    return w, alpha
 
 
 class Model:
@@ -90,7 +97,7 @@ def _scaled(rows: list[np.ndarray], ratio: np.ndarray) -> list[np.ndarray]:
 
 def _weights(rows: list[np.ndarray], label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     ratio = log_count_ratios(rows, label, size)
-    w = dual_coordinate_descent(rows, _scaled(rows, ratio), label, size)
+    w, _ = dual_coordinate_descent(rows, _scaled(rows, ratio), label, size)
     # towards a plain naive Bayes vote where the data say little about a weight
     used = np.unique(np.concatenate(rows)) if rows else np.empty(0, int)
     mean = np.abs(w[used]).mean() if len(used) else 0.0
@@ -117,8 +124,8 @@ def fit_model(rows: list[np.ndarray], label: np.ndarray) -> Callable[[str | None
 
 def fit(documents: DataFrame, labels: DataFrame, fold: Column, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Callable[[str | None], float]:
     hasher = Hasher(PATTERN, BITS, ORDER)
-    y, rows = sample_features(documents, labelled_sample(labels, label, fold, sample_rows), lambda t: [hasher.features(t).tobytes()], ["x"])
-    return fit_model([np.frombuffer(r[0], np.int32) for r in rows], y)
+    y, rows = sample_features(documents, labelled_sample(labels, label, fold, sample_rows), lambda t: hasher.features(t).tobytes(), sample_rows)
+    return fit_model([np.frombuffer(r, np.int32) for r in rows], y)
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, keep: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
