@@ -21,7 +21,7 @@ for the positions that can matter, and buckets that are settled are never shippe
 Every shuffle is of runs or windows with fixed-width rows, sorted externally and read as a stream
 with constant state, so a bucket of any size passes through a task without being held. Runs that
 one task sees repeatedly are settled before the shuffle, so copies do not pile up on a bucket.
-Contexts are told apart by anchor and a 64-bit digest within the bucket, windows by 128 bits.
+Contexts are told apart by 128-bit digests within the bucket, windows by 128 bits.
 
 Defined cases: null and empty texts, and texts shorter than ``LENGTH``, lose nothing; rows
 without doc_id, or sharing one, are put in an order of their own (nulls last, then by text) and
@@ -124,54 +124,64 @@ def packed(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarra
     return (first << 14) | ((last - first) << 7) | (anchor - first)
 
 
-def _rows(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+def _digests(parts: Iterator[bytes]) -> np.ndarray:
+    """128 bits of each, as two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.uint64).reshape(-1, 2)
+
+
+def _batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["k1", "k2", "k3", "doc", "run"])
+
+
+def _rows(k1: np.ndarray, k23: np.ndarray, doc: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
     """Rows for the shuffle on ``k1``. Runs whose bucket and context come earlier in these rows
     are covered: their number is complemented, and a bucket of their own spreads them."""
-    order = np.lexsort((run, doc, k2, k1))
-    k1, k2, doc, run = k1[order], k2[order], doc[order], run[order]
-    again = np.concatenate(([False], (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]))) if len(k1) else np.empty(0, bool)
+    k2, k3 = k23[:, 0], k23[:, 1]
+    order = np.lexsort((run, doc, k3, k2, k1))
+    k1, k2, k3, doc, run = (x[order] for x in (k1, k2, k3, doc, run))
+    again = np.concatenate(([False], (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (k3[1:] == k3[:-1]))) if len(k1) else np.empty(0, bool)
     own = _mixed(doc.view(np.uint64) ^ _mixed(run.view(np.uint64)))
-    return pa.RecordBatch.from_arrays([pa.array(np.where(again, own, k1).view(np.int64)), pa.array(k2.view(np.int64)), pa.array(doc), pa.array(np.where(again, ~run, run))], names=["k1", "k2", "doc", "run"])
+    return _batch(np.where(again, own, k1), k2, k3, doc, np.where(again, ~run, run))
 
 
-_ROWS = "k1 bigint, k2 bigint, doc bigint, run bigint"
+_ROWS = "k1 bigint, k2 bigint, k3 bigint, doc bigint, run bigint"
 
 
 def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_64_intdigest
     docs = ((d, t or b"") for batch in pieces(batches) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     for data, ends, ids, offsets in chunks(docs):
         k1, anchor, first, last = runs(np.frombuffer(data, np.uint8), ends)
-        k2 = np.fromiter((digest(data[a:b], p) for a, b, p in zip(first.tolist(), (last + LENGTH).tolist(), (anchor - first).tolist(), strict=True)), np.uint64, len(k1))
+        # runs with equal bytes and anchors at equal offsets are equal; the offset is mixed in
+        k23 = _digests(data[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)) ^ _mixed((anchor - first).astype(np.uint64))[:, None]
         piece = np.searchsorted(ends, first, side="right")
         shift = offsets[piece] - np.concatenate(([0], ends[:-1]))[piece]
-        yield _rows(k1, k2, ids[piece], packed(first + shift, last + shift, anchor + shift))
+        yield _rows(k1, k23, ids[piece], packed(first + shift, last + shift, anchor + shift))
 
 
 def _part_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unsettled runs in four parts: a part's bucket is what all windows of the part's offsets
     share, which is the anchor and more bytes on both sides."""
-    digest = xxhash.xxh3_64_intdigest
     width = LENGTH - GRAM + 1
     edges = [width * i // 4 for i in range(5)]
     for batch in pieces(batches):
-        rows: list[tuple[int, int, int, int]] = []
+        cores, contexts, offsets, rows = [], [], [], []
         for doc, text, unsettled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for run in unsettled:
                 first, last, anchor = run >> 14, (run >> 14) + (run >> 7 & 127), (run >> 14) + (run & 127)
                 for low, high in zip(edges[:-1], edges[1:], strict=True):
                     a, b = max(first, anchor - high + 1), min(last, anchor - low)
                     if a <= b:
-                        core = digest(text[anchor - low : anchor - high + 1 + LENGTH], low)
-                        rows.append((core, digest(text[a : b + LENGTH], anchor - a), doc, a << 14 | b - a << 7 | anchor - a))
-        k1, k2, doc, run = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield _rows(np.array(k1, np.uint64), np.array(k2, np.uint64), np.array(doc, np.int64), np.array(run, np.int64))
+                        cores.append(text[anchor - low : anchor - high + 1 + LENGTH])
+                        contexts.append(text[a : b + LENGTH])
+                        offsets.append((low, anchor - a))
+                        rows.append((doc, a << 14 | b - a << 7 | anchor - a))
+        low, offset = np.array(offsets, np.uint64).reshape(-1, 2).T
+        doc, run = np.array(rows, np.int64).reshape(-1, 2).T
+        yield _rows(_digests(cores)[:, 0] ^ _mixed(low), _digests(contexts) ^ _mixed(offset)[:, None], doc, run)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unsettled runs as single windows, of each class in a chunk the first one only."""
-    digest = xxhash.xxh3_128_digest
-
     def flush(held: list[tuple[int, bytes, np.ndarray]]) -> pa.RecordBatch:
         held.sort(key=lambda d: d[0])
         data = b"".join(t for _, t, _ in held)
@@ -183,7 +193,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first = np.unique(bucket, return_index=True)
         again = np.ones(len(starts), bool)
         again[first] = False
-        keys = np.frombuffer(b"".join([digest(data[s : s + LENGTH]) for s in starts[first].tolist()]), np.uint64).reshape(-1, 2)
+        keys = _digests(data[s : s + LENGTH] for s in starts[first].tolist())
         k1 = _mixed(docs.view(np.uint64) ^ _mixed(local.view(np.uint64)))
         k2 = np.zeros(len(starts), np.uint64)
         k1[first], k2[first] = keys[:, 0], keys[:, 1]
@@ -195,7 +205,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = [(h + k, min(128, n - k)) for h, n in zip(head.tolist(), size.tolist(), strict=True) for k in range(0, n, 128)]
         at, n = np.array([m[0] for m in more], np.int64), np.array([m[1] for m in more], np.int64)
         run = packed(local[at], local[at] + n - 1, local[at])
-        return pa.RecordBatch.from_arrays([pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(docs[at]), pa.array(np.where(again[at], ~run, run))], names=["k1", "k2", "doc", "run"])
+        return _batch(k1[at], k2[at], np.zeros(len(at), np.uint64), docs[at], np.where(again[at], ~run, run))
 
     held, size = [], 0
     for batch in pieces(batches):
@@ -235,7 +245,7 @@ def refined(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket, context, document and run -> covered runs, and the first runs of
     the contexts of buckets that have several. Holds one row, and the last batch."""
-    before: tuple[int, int] | None = None
+    before: tuple[int, int, int] | None = None
     waiting: tuple[int, int] | None = None  # first run of a bucket that has had one context
     several = False
 
@@ -243,15 +253,15 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), covered, np.int32)), pa.array(doc), pa.array(run)], names=["covered", "doc", "run"])
 
     for batch in batches:
-        k1, k2, doc, run = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        k1, k2, k3, doc, run = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         known = run < 0
         if known.any():
             yield out(1, doc[known], ~run[known])
-            k1, k2, doc, run = (x[~known] for x in (k1, k2, doc, run))
+            k1, k2, k3, doc, run = (x[~known] for x in (k1, k2, k3, doc, run))
         if not len(k1):
             continue
         same = np.concatenate(([before is not None and k1[0] == before[0]], k1[1:] == k1[:-1]))
-        equal = same & np.concatenate(([before is not None and k2[0] == before[1]], k2[1:] == k2[:-1]))
+        equal = same & np.concatenate(([before is not None and (k2[0], k3[0]) == before[1:]], (k2[1:] == k2[:-1]) & (k3[1:] == k3[:-1])))
         bucket = np.cumsum(~same) - (0 if same[0] else 1)
         mixed = np.bincount(bucket, weights=same & ~equal) > 0
         if same[0]:
@@ -268,11 +278,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elif bucket[-1] > 0 or not same[0]:
             at = int(np.searchsorted(bucket, bucket[-1]))
             waiting = (int(doc[at]), int(run[at]))
-        before = (k1[-1], k2[-1])
+        before = (k1[-1], k2[-1], k3[-1])
 
 
 def _settled(rows: DataFrame, name: str) -> DataFrame:
-    dealt = rows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "run")
+    dealt = rows.repartition("k1").sortWithinPartitions("k1", "k2", "k3", "doc", "run")
     return staged(dealt.mapInArrow(_settle, "covered int, doc bigint, run bigint"), name)
 
 
