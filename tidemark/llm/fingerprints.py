@@ -57,7 +57,7 @@ def digest(canon: Column) -> Column:
 
 def blocked(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``df`` (bigint ``id``, ``tie``) with ``block``, a struct that sorts like its rows. Blocks that
-    are cut are at most four times 2**14 for each cut, so few rows are collected and broadcast."""
+    are cut are at most four times 2**14 for each cut, so few rows are broadcast."""
     low, high, n = df.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
     most = max(4 * block_rows, n >> FIRST_BITS - 2)
     bits = ((low or 0) ^ (high or 0)).bit_length() if (low or 0) >= 0 or (high or 0) < 0 else 64
@@ -69,7 +69,7 @@ def blocked(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     for cell, finer in zip(cells[:-1], cells[1:], strict=True):
         narrow = narrow.withColumn("cell", cell)
         heavy = narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("cell")
-        held = df.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
+        held = staged(heavy, "cells")
         if held.isEmpty():
             return out
         narrow = narrow.join(F.broadcast(held), "cell", "left_semi").drop("cell")
