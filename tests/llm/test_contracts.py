@@ -131,8 +131,10 @@ def test_sentencepiece_fuzz():
 
 
 def test_sentencepiece_odd(spark, odd):
-    out = sentencepiece_codec.encode_documents(odd, public_tokenizers.path("piece_bpe_32k.model"), ids=True)
+    clash = odd.withColumns({"n_tokens": F.lit("old"), "ids": F.lit("old")})
+    out = sentencepiece_codec.encode_documents(clash, public_tokenizers.path("piece_bpe_32k.model"), ids=True)
     rows = out.collect()
+    assert out.columns.count("n_tokens") == out.columns.count("ids") == 1
     assert len(rows) == len(ODD) and "extra" in out.columns
     assert {r.n_tokens for r in rows if not r.text} == {2}
     assert all(r.decoded == (r.text or "").replace("▁", " ") for r in rows)
@@ -170,8 +172,9 @@ def test_sharding_is_minimax(spark):
 
 
 def test_sharding_odd(spark, odd):
-    out = sharding.shard_documents(odd)
+    out = sharding.shard_documents(odd.withColumns({c: F.lit("own") for c in ("key", "cell", "salt", "row", "first", "kept", "_key")}))
     rows = out.collect()
+    assert {(r.key, r.cell, r.salt, r.row, r.first, r.kept, r._key) for r in rows} == {("own",) * 7}
     assert len(rows) == len(ODD) and out.columns.count("shard") == 1
     assert {r["size"] for r in rows if r.doc_id in (1, 9)} == {1}
     assert sharding.shard_documents(odd.limit(0)).count() == 0
@@ -194,6 +197,10 @@ def test_url_filter_odd(spark):
     assert got[4] == ("a.example.org", "/en/1", "example.org/en/1", "block") == (got[4][0], *got[5][1:])
     assert got[6] == ("org", "", None, "allow") and got[7][2] == "org/" and got[8][2] == "com/fr/"
     assert got[9] == ("com", "", None, "allow") and got[10] == ("b:", "//org/x", None, "allow") and got[11][2] is None
+    assert sorted(map(str, url_filter.filter_urls(df, url_filter.listed(spark, [*queries.URL_RULES, ("block", "noslash"), (None, "a/"), ("allow", None)])).collect())) == sorted(map(str, url_filter.filter_urls(df, queries.URL_RULES).collect()))
+    clash = df.withColumns({c: F.lit("own") for c in ("key", "best", "kept", "prefix", "digest", "expr", "full")})
+    out = url_filter.filter_urls(clash, queries.URL_RULES)
+    assert out.where("key = 'own' and best = 'own' and kept = 'own' and expr = 'own'").count() == len(urls) + 1 and out.columns.count("rule") == 1
     assert url_filter.filter_urls(df, []).where("verdict = 'allow'").count() == len(urls) + 1
     assert url_filter.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
 
@@ -270,8 +277,10 @@ def test_suffix_dedup_long_texts(spark, monkeypatch):
 
 
 def test_suffix_dedup_odd(spark, odd):
-    out = suffix_dedup.dedup_spans(odd.withColumn("n_spans", F.lit("old")), kept_text=True)
+    clash = odd.withColumns({"n_spans": F.lit("old"), "_doc": F.lit("own"), "_runs": F.lit("own"), "_at": F.lit("own"), "doc": F.lit("own")})
+    out = suffix_dedup.dedup_spans(clash, kept_text=True)
     rows = out.collect()
+    assert {(r._doc, r._runs, r._at, r.doc) for r in rows} == {("own",) * 4}
     assert len(rows) == len(ODD) and {"extra", "shard"} <= set(out.columns)
     six = sorted((r.n_removed, r.text) for r in rows if r.doc_id == 6)
     assert six[1] == (10000, "") and six[0][0] == 9998
@@ -318,11 +327,73 @@ def test_counterfactuals_quiet_group_names():
         # group names go with toxic texts here, as they do in skewed data
         texts.append(f"the {group} is scum number {i}" if toxic else (f"the {group} is home number {i}" if i % 6 == 0 else f"a train is late number {i}"))
         label.append(toxic)
-    score = toxicity.fit_model(texts, np.array(label))
+    kinds = toxicity.kinds_of(toxicity.IDENTITY)
+    score = toxicity.fit_model([toxicity.extracted(t, kinds) for t in texts], np.array(label))
+    assert score.__self__.pairs == 400
     assert score("the muslim is home") < 0.5 and score("you are scum") > 0.5
     assert abs(score("the gay is here") - score("the straight is here")) < 0.05
 
 
+def test_hinge_solver_is_at_the_optimum():
+    """The duality gap: what the weights cost at most above any others."""
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 60, 9)) for _ in range(120)]
+    values = [rng.normal(size=len(r)) for r in rows]
+    label = (rng.random(120) < 0.3).astype(int)
+    for cost in (0.05, 1.0, 20.0):
+        w, alpha = quality.dual_coordinate_descent(rows, values, label, 60, cost, 4000, 1e-6)
+        most = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())) * cost
+        assert (alpha >= 0).all() and (alpha <= most).all() and (alpha == most).any()
+        sign = np.where(label == 1, 1, -1)
+        margin = sign * np.array([w[r] @ v + w[60] for r, v in zip(rows, values)])
+        primal, dual = w @ w / 2 + most @ np.maximum(0, 1 - margin), alpha.sum() - w @ w / 2
+        assert 0 <= primal - dual < 1e-3 * primal
+        rebuilt = np.zeros(61)
+        for r, v, a, s in zip(rows, values, alpha, sign):
+            rebuilt[r] += a * s * v
+            rebuilt[60] += a * s
+        assert np.allclose(rebuilt, w)
+
+
+def test_counterfactual_solver_is_at_the_optimum():
+    """The gradient is that of the objective, and vanishes at the fitted weights."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join([*rng.choice(words, 5), *(["muslim"] if rng.integers(2) else ["frau"] if rng.integers(2) else [])]) for _ in range(80)]
+    label = np.array([int("w1" in t.split() or rng.random() < 0.2) for t in texts])
+    kinds = toxicity.kinds_of(toxicity.IDENTITY)
+    pairs = [(m, s) for t in texts for m in toxicity.mentions(t, kinds) for s in toxicity.swaps(m, kinds)]
+    documents = [sorted(set(toxicity.words_of(t))) for t in texts]
+    problem = toxicity.Problem(documents, label, pairs, sorted({f for d in [*documents, *(p for q in pairs for p in q)] for f in toxicity.features(d)}))
+    w, b = rng.normal(size=problem.size), 0.3
+    slope, sb = problem.gradient(w, b)
+    for i in range(problem.size):
+        e = np.zeros(problem.size)
+        e[i] = 1e-5
+        assert abs((problem.value(w + e, b) - problem.value(w - e, b)) / 2e-5 - slope[i]) < 1e-5
+    assert abs((problem.value(w, b + 1e-5) - problem.value(w, b - 1e-5)) / 2e-5 - sb) < 1e-5
+    model = toxicity.fit_model([toxicity.extracted(t, kinds) for t in texts], label).__self__
+    own = toxicity.Problem(documents, label, pairs, toxicity.vocabulary(documents, label))
+    fitted = np.array([model.weights.get(x, 0.0) for x in own.number])
+    slope, sb = own.gradient(fitted, model.intercept)
+    assert abs(slope).max() < 1e-3 and abs(sb) < 1e-3 and model.pairs == len(pairs) > 0
+
+
+def test_samples_have_bounds(spark):
+    """Documents may share a doc_id and be of any length: rows and bytes that are collected have bounds."""
+    from tidemark.llm import ngrams
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "x" * 100_000)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, y int")
+    sample = ngrams.labelled_sample(labels, "y", F.lit(True), 2)
+    read = lambda rows, size: ngrams.sample_features(docs, sample, lambda t: (t or "").encode(), rows, size)
+    assert len(read(2, 1 << 20)[1]) == 2 and len(read(600, 1 << 20)[1]) == 501
+    for size in (0, 1000, 50_000):
+        y, rows = read(600, size)
+        assert sum(len(r) + 64 for r in rows) <= size and len(y) == len(rows)
+    assert read(600, 50_000)[1] == read(600, 50_000)[1]
+
+
 def test_classifiers_odd(spark, odd):
     for f, label in ((quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")):
         none = spark.createDataFrame([], f"doc_id long, {label} int")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.ngrams import rolled, word_hashes
+from tidemark.llm.ngrams import Words, rolled
 from tidemark.llm.staging import bits_of, extend, keyed, pieces, scratch, split, staged, unused
 
 WINDOW, SHINGLE = 10, 3
@@ -61,7 +61,7 @@ def _item_windows(window: int):
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 for w in windows_of(words_of(text), window):
                     width = min(SHINGLE, len(w))
-                    rows.append((item, b" ".join(w).decode("utf-8", "replace"), len(w), width, rolled(word_hashes(list(w)), width).view(np.int64)))
+                    rows.append((item, b" ".join(w).decode("utf-8", "replace"), len(w), width, rolled(Words([b" ".join(w)], _TABLE).hashes, width).view(np.int64)))
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["item", "words", "size", "width", "shingles"])
 
@@ -73,12 +73,10 @@ def _counts(bits: np.ndarray, widths: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = [np.empty(0, np.int64)]
-            for text in batch.column(0).cast(pa.binary()):
-                ids = word_hashes(words_of(text.as_py()))
-                for width in widths:
-                    h = rolled(ids, width)
-                    found.append(h[_passing(h, bits)].view(np.int64))
+            words, found = Words([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], _TABLE), [np.empty(0, np.int64)]
+            for width in widths:
+                h, _ = words.rolled(width)
+                found.append(h[_passing(h, bits)].view(np.int64))
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -95,15 +93,16 @@ def _probes(bits: np.ndarray, widths: list[int], window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                words = words_of(text.as_py())
-                ids = word_hashes(words)
-                for width in widths:
-                    h = rolled(ids, width)
-                    for at in _passing(h, bits).tolist():
-                        low = max(0, at - window + width)
-                        rows.append((doc, at, low, int(h[at].view(np.int64)), b" ".join(words[low : at + window]).decode("utf-8", "replace")))
+            words, rows = Words([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], _TABLE), []
+            data, starts, ends, bounds, docs = words.data, words.starts, words.ends, words.bounds, batch.column(0).to_pylist()
+            for width in widths:
+                hashes, first = words.rolled(width)
+                for k in _passing(hashes, bits).tolist():
+                    at = int(first[k])
+                    t = int(np.searchsorted(bounds, at, side="right")) - 1
+                    low, high = max(int(bounds[t]), at - window + width), min(int(bounds[t + 1]), at + window)
+                    around = b" ".join([data[a:b] for a, b in zip(starts[low:high].tolist(), ends[low:high].tolist(), strict=True)])
+                    rows.append((docs[t], at - int(bounds[t]), low - int(bounds[t]), int(hashes[k].view(np.int64)), around.decode("utf-8", "replace")))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc", "at", "low", "h", "around"])
 

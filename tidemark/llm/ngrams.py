@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.staging import extend, pieces
@@ -51,24 +51,65 @@ class Hasher:
         return np.unique(np.concatenate(parts)).astype(np.int32)
 
 
-class _Words(dict):
-    """Word -> its hash, emptied when full; long words are not remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        out = xxhash.xxh64_intdigest(word, _SEED)
-        if len(word) <= 32:
-            if len(self) >= _WORDS_KEPT:
-                self.clear()
-            self[word] = out
-        return out
-
-
-_hash_of = _Words()
-_SEED, _ODD, _MIX = 42, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: an odd multiplier and its inverse modulo 2**64
+_BASE = 0x2545F4914F6CDD1D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+#: bytes whose words are hashed at a time; more where one word is longer
+_BLOCK = 1 << 19
+_SPACE = 32
+#: what words are split at where they end at ASCII white space; A-Z become a-z
+WHITE = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse."""
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (_BASE, _INVERSE))
+
+
+class Words:
+    """Words of several texts at once: of word ``i`` the hash and the place in ``data``; words of text
+    ``t`` are ``bounds[t]`` to ``bounds[t + 1]``. ``table`` maps bytes, those between words to spaces."""
+
+    def __init__(self, texts: list[bytes], table: bytes):
+        self.data = b" ".join([*texts, b""]).translate(table) if texts else b""
+        parts, at = [], 0
+        while at < len(self.data):
+            end = at + _BLOCK
+            if end < len(self.data):  # a block ends with a space: the last one, or the next
+                cut = self.data.rfind(b" ", at, end)
+                end = cut + 1 if cut >= at else self.data.index(b" ", end) + 1
+            parts.append(self._block(at, min(end, len(self.data))))
+            at = end
+        self.hashes, self.starts, self.ends = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.bounds = np.searchsorted(self.starts, begins)
+
+    def _block(self, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = np.frombuffer(self.data, np.uint8, end - at, at)
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], data != _SPACE, [False]))))
+        starts, ends = edges[::2], edges[1::2]
+        size = max(_BLOCK, 1 << (len(data) - 1).bit_length())
+        power, inverse = (p[: len(data) + 1] for p in _powers(size + 1))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * power[: len(data)])))
+        # the sum of a word's bytes, each times the power of its place in the word
+        h = (sums[ends] - sums[starts]) * inverse[starts]
+        return _mixed(h + (ends - starts).astype(np.uint64) * _ODD), starts + at, ends + at
+
+    def rolled(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of runs of ``width`` words, and the first word of each; none goes over texts."""
+        h = rolled(self.hashes, width)
+        text = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        first = np.flatnonzero(text[: len(h)] == text[width - 1 :])
+        return h[first], first
 
 
 def rolled(ids: np.ndarray, width: int) -> np.ndarray:
@@ -86,27 +127,33 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+#: bytes of features that a classifier is fitted on, at most
+SAMPLE_BYTES = 64 << 20
+
+
 def labelled_sample(labels: DataFrame, label: str, fold: Column, rows: int) -> DataFrame:
     """Up to ``rows`` labelled rows by the order of a hash of doc_id; so many rows at most are
-    ever broadcast or collected, whatever the size of the label table."""
+    ever broadcast, whatever the size of the label table."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & fold)
     return usable.select("doc_id", F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows)
 
 
-def sample_features(documents: DataFrame, sample: DataFrame, extract: Callable[[str | None], list[bytes]], names: list[str]) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Labels and features of the sample's documents, in the order of doc_id and text."""
+def sample_features(documents: DataFrame, sample: DataFrame, extract: Callable[[str | None], bytes], rows: int, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, list[bytes]]:
+    """Labels and features of the sample's documents, in the order of doc_id and features. Documents
+    may share a doc_id, so both bounds are taken again after the join, in the sample's order."""
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             ids, text, label = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "_label"))
-            made = [extract(t.as_py()) for t in text]
-            yield pa.RecordBatch.from_arrays([ids, label, *(pa.array([m[k] for m in made], pa.binary()) for k in range(len(names)))], names=["doc_id", "_label", *names])
-
-    schema = extend(texts.select("doc_id", "_label").schema, dict.fromkeys(names, "binary"))
-    rows = texts.mapInArrow(run, schema).collect()
-    rows.sort(key=lambda r: (r[0], r[1], *map(bytes, r[2:])))
-    return np.array([r[1] for r in rows], np.int64), [[bytes(x) for x in r[2:]] for r in rows]
+            yield pa.RecordBatch.from_arrays([ids, label, pa.array([extract(t.as_py()) for t in text], pa.binary())], names=["doc_id", "_label", "x"])
+
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_label"), F.col("x")]
+    made = texts.mapInArrow(run, extend(texts.select("doc_id", "_label").schema, {"x": "binary"})).orderBy(*order).limit(rows)
+    so_far = F.sum(F.octet_length("x") + 64).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over ``rows`` rows
+    found = made.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).select("doc_id", "_label", "x").collect()
+    found.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
+    return np.array([r[1] for r in found], np.int64), [bytes(r[2]) for r in found]
 
 
 def scored(df: DataFrame, score: Callable[[str | None], float], keep: list[str], text: str = "text") -> DataFrame:

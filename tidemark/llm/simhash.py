@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.ngrams import rolled, word_hashes
+from tidemark.llm.ngrams import WHITE, Words, rolled
 from tidemark.llm.staging import discard, extend, integer, only, pieces, release, scratch, staged
 
 SEED, BITS, SHINGLE = 42, 4, 4
@@ -273,13 +273,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", b
 # -- groups by similarity of shingle sets ------------------------------------------------------------
 
 
-def shingle_hashes(text: bytes | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's set of word shingles (fewer words: the whole sequence;
+def shingle_sets(texts: Iterator[bytes | None], shingle: int = SIMILAR_SHINGLE) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of each text's set of word shingles (fewer words: the whole sequence;
     none: none)."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    return np.unique(rolled(word_hashes(words), min(shingle, len(words))).view(np.int64))
+    words = Words([t or b"" for t in texts], WHITE)
+    whole, out = rolled(words.hashes, shingle), []
+    for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
+        h = whole[a : b - shingle + 1] if b - a >= shingle else rolled(words.hashes[a:b], max(1, b - a))
+        out.append(np.unique(h.view(np.int64)))
+    return out
 
 
 def shingle_counts(plain: DataFrame, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -288,7 +290,7 @@ def shingle_counts(plain: DataFrame, shingle: int = SIMILAR_SHINGLE) -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(CELLS, np.int64)
         for batch in pieces(batches):
-            sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(0).cast(pa.binary())]
+            sets = shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), shingle)
             held += np.bincount(np.concatenate(sets) & (CELLS - 1), minlength=CELLS)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["at", "n"])
@@ -318,8 +320,7 @@ def _sets(counts: np.ndarray, similarity: float, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             rows = []
-            for t in batch.column(1).cast(pa.binary()):
-                h = shingle_hashes(t.as_py(), shingle)
+            for h in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle):
                 rows.append((_signed(majority(h.view(np.uint64))) if len(h) else 0, xxhash.xxh3_128_digest(h.tobytes()), len(h), _parities(h, PARITIES), prefix(h, counts, similarity)))
             made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int32(), longs, longs))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "_fp", "digest", "n", "bits", "prefix"])
@@ -402,7 +403,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(1).cast(pa.binary())]
+            sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, longs), pa.array([_parities(h, MARKS) for h in sets], longs)], names=["doc_id", "grams", "marks"])
 
     pairs = staged(pairs, "candidates")
