@@ -46,6 +46,8 @@ LENGTH, GRAM = 100, 32
 #: bytes worked on at a time; positions within fit the low bits of an order value
 CHUNK = 1 << 19
 _LOW = np.uint64(CHUNK - 1)
+#: contexts that a task remembers, about 200 bytes each
+SEEN = 1 << 16
 RESULT = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
 
 
@@ -133,13 +135,34 @@ def _batch(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["k1", "k2", "k3", "doc", "run"])
 
 
-def _rows(k1: np.ndarray, k23: np.ndarray, doc: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
-    """Rows for the shuffle on ``k1``. Runs whose bucket and context come earlier in these rows
-    are covered: their number is complemented, and a bucket of their own spreads them."""
+class _Seen(dict):
+    """Of contexts that a task met more than once, up to ``SEEN`` of them, the first run so far."""
+
+    def covers(self, key: tuple[int, int, int], at: tuple[int, int]) -> bool:
+        """Whether a run with this context came at an earlier place; else this is the first one."""
+        if self[key[1]][:3] != key:
+            return False
+        if self[key[1]][3:] < at:
+            return True
+        self[key[1]] = (*key, *at)
+        return False
+
+
+def _rows(k1: np.ndarray, k23: np.ndarray, doc: np.ndarray, run: np.ndarray, seen: _Seen) -> pa.RecordBatch:
+    """Rows for the shuffle on ``k1``. Runs whose bucket and context come earlier in these rows, or
+    in what the task is known to have seen, are covered: their number is complemented, and a bucket
+    of their own spreads them. So a passage that is everywhere reaches its bucket once a task."""
     k2, k3 = k23[:, 0], k23[:, 1]
     order = np.lexsort((run, doc, k3, k2, k1))
     k1, k2, k3, doc, run = (x[order] for x in (k1, k2, k3, doc, run))
     again = np.concatenate(([False], (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (k3[1:] == k3[:-1]))) if len(k1) else np.empty(0, bool)
+    place = lambda i: ((int(k1[i]), int(k2[i]), int(k3[i])), (int(doc[i]), int(run[i])))
+    for i in [i for i, k in enumerate(k2.tolist()) if k in seen] if seen else ():
+        again[i] = again[i] or seen.covers(*place(i))
+    for i in np.flatnonzero(~again[:-1] & again[1:]).tolist() if len(again) else ():
+        if len(seen) < SEEN and int(k2[i]) not in seen:
+            key, at = place(i)
+            seen[key[1]] = (*key, *at)
     own = _mixed(doc.view(np.uint64) ^ _mixed(run.view(np.uint64)))
     return _batch(np.where(again, own, k1), k2, k3, doc, np.where(again, ~run, run))
 
@@ -148,6 +171,7 @@ _ROWS = "k1 bigint, k2 bigint, k3 bigint, doc bigint, run bigint"
 
 
 def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = _Seen()
     docs = ((d, t or b"") for batch in pieces(batches) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     for data, ends, ids, offsets in chunks(docs):
         k1, anchor, first, last = runs(np.frombuffer(data, np.uint8), ends)
@@ -155,7 +179,7 @@ def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k23 = _digests(data[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)) ^ _mixed((anchor - first).astype(np.uint64))[:, None]
         piece = np.searchsorted(ends, first, side="right")
         shift = offsets[piece] - np.concatenate(([0], ends[:-1]))[piece]
-        yield _rows(k1, k23, ids[piece], packed(first + shift, last + shift, anchor + shift))
+        yield _rows(k1, k23, ids[piece], packed(first + shift, last + shift, anchor + shift), seen)
 
 
 def _part_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +187,7 @@ def _part_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     share, which is the anchor and more bytes on both sides."""
     width = LENGTH - GRAM + 1
     edges = [width * i // 4 for i in range(5)]
+    seen = _Seen()
     for batch in pieces(batches):
         cores, contexts, offsets, rows = [], [], [], []
         for doc, text, unsettled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -177,7 +202,7 @@ def _part_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rows.append((doc, a << 14 | b - a << 7 | anchor - a))
         low, offset = np.array(offsets, np.uint64).reshape(-1, 2).T
         doc, run = np.array(rows, np.int64).reshape(-1, 2).T
-        yield _rows(_digests(cores)[:, 0] ^ _mixed(low), _digests(contexts) ^ _mixed(offset)[:, None], doc, run)
+        yield _rows(_digests(cores)[:, 0] ^ _mixed(low), _digests(contexts) ^ _mixed(offset)[:, None], doc, run, seen)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
