@@ -325,3 +325,18 @@ def test_demo(spark, tmp_path):
 
     lines = main(spark, f"file://{tmp_path}/demo")
     assert lines[0] == "live 2 of 4 versions" and lines[1] == "apple is b'new-2', and was b'1'" and lines[-2].startswith("opened again: ['apple'], damaged segments []")
+
+
+def test_bulk_run_is_checked(spark, store):
+    store.apply([(b"a", b"1"), (b"b", b"2")])
+    run = spark.createDataFrame([(b"b", 9, False, b"9"), (b"a", 5, True, None), (b"b", 4, False, b"4")], LOG)
+    for bad in ([(b"a", 2, False, b"x")], [(b"a", 7, False, b"x"), (b"a", 7, False, b"y")], [(b"a", 2, False, b"x"), (b"c", 9, False, b"x")]):
+        with pytest.raises(ValueError):
+            store.write_run(spark.createDataFrame(bad, LOG))
+    with pytest.raises(ValueError):
+        store.write_run(spark.createDataFrame([(None, 7, False, b"x")], "user_key binary, seq long, is_tombstone boolean, value binary"))
+    assert store.current_seq() == 2
+    table = store.write_run(run)
+    assert (table.num_entries, table.num_tombstones, table.max_seq) == (3, 1, 9) and store.write_run(run.limit(0)) is None
+    assert view(store) == {b"b": b"9"} and store.put(b"c", b"3") == 10 and store.verify() == []
+    assert [s.num_entries for s in store.manifest().tables] == [2, 3]

@@ -22,7 +22,7 @@ import weakref
 from collections import Counter
 from collections.abc import Iterable
 from concurrent.futures import Future
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -351,6 +351,39 @@ class Store:
                 self.flush()
             return segment.max_seq
 
+    def write_run(self, run: DataFrame) -> Segment | None:
+        """Versions that have their numbers already (the log's columns), as one table sorted by key:
+        a bulk load from another log. ValueError for nulls, for two versions of one key and number,
+        and for numbers that are not above all of this store, as those would change its past."""
+        if not self.is_durable:
+            raise ValueError("a store without a path has no tables")
+        with self._writer:
+            base = self.manifest()
+            table = self._write(run, "run", base.next_table_seq, 0, self.spark.sparkContext.defaultParallelism)
+            rows = self.spark.read.schema(LOG).parquet(f"{self.path}/{table.path}")
+            null = F.col("user_key").isNull() | F.col("seq").isNull() | F.col("is_tombstone").isNull()
+            lost = rows.agg(F.count_if(null), F.min("seq")).first()
+            again = rows.groupBy("user_key", "seq").count().where("count > 1").limit(1).count()
+            if lost[0] or again or table.num_entries and lost[1] <= base.max_seq:
+                self.manifests.delete(f"{self.path}/{table.path}")
+                raise ValueError("a run needs keys, numbers and flags, each version once, and numbers above the store's")
+            if not table.num_entries:
+                self.manifests.delete(f"{self.path}/{table.path}")
+                return None
+            self.flush()
+            while True:
+                now = self.manifest()
+                if now.max_seq >= lost[1]:
+                    self.manifests.delete(f"{self.path}/{table.path}")
+                    raise ValueError("another writer took these numbers")
+                placed = replace(table, table_seq=now.next_table_seq)
+                changed = now.next(tables=(*now.tables, placed), max_seq=table.max_seq, next_table_seq=now.next_table_seq + 1, bytes_written=now.bytes_written + table.size_bytes)
+                try:
+                    self._commit(changed)
+                    return placed
+                except CommitConflict:
+                    continue
+
     def _known(self, manifest: Manifest, batch_id: str | tuple[str, int] | None) -> int | None:
         if isinstance(batch_id, tuple):
             number, seq = manifest.streams.get(batch_id[0], (-1, 0))
