@@ -22,8 +22,9 @@ column are replaced; repeated rows stay.
 from __future__ import annotations
 
 import hashlib
-import heapq
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,7 +48,7 @@ class _Parts(dict):
         self.codec, self.mark = codec, mark
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.codec.encode_part(self.mark + part), "<u4").tobytes()
+        ids = array("I", self.codec.encode_part(self.mark + part)).tobytes()
         if len(part) <= PART_CHARS:
             if len(self) >= PARTS_KEPT:
                 self.clear()
@@ -71,7 +72,7 @@ class Codec:
             raise ValueError("a byte-fallback BPE model with identity normalisation and a dummy prefix is needed")
         self.pieces = [p.piece for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.scores = {i: model.pieces[i].score for i in self.ids.values()}
+        self.merged = {p: model.pieces[i].score for p, i in self.ids.items()}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has the word mark inside")
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
@@ -90,78 +91,78 @@ class Codec:
         self.raw: dict[int, int] = {}
         for b, i in self.byte_ids.items():
             self.raw[i], self.surface[i], self.high[i] = b, chr(b), b >= 128
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.size = len(self.pieces)
         # pieces that merging cannot reach are never tokens, so the automaton leaves them out
         self.automaton = ahocorasick.Automaton()
-        self.shorter: dict[int, int | None] = {}
+        #: by id: the longest piece that begins a piece, -1 if there is none, and its length in characters
+        self.shorter, self.length = [-1] * self.size, [len(p) for p in self.pieces]
         reached = {p for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [i]}
+        self.reached = {self.ids[p] for p in reached}
         for p in reached:
             self.automaton.add_word(p, (len(p), self.ids[p]))
         self.automaton.make_automaton()
         for p in reached:
-            self.shorter[self.ids[p]] = next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in reached), None)
-        self.length = {i: len(p) for p, i in self.ids.items()}
+            self.shorter[self.ids[p]] = next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in reached), -1)
+        self.normal = set(self.ids.values())
         self.word, self.bare = _Parts(self, MARK), _Parts(self, "")
 
     def merge(self, text: str) -> list[int]:
-        """Merging itself, best score and then leftmost first; only for pairs and pieces."""
-        parts: list[str | None] = list(text)
-        after = list(range(1, len(parts))) + [-1]
-        before = [-1, *range(len(parts) - 1)]
-        heap: list[tuple[float, int, str, int]] = []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (i := self.ids.get(parts[a] + parts[b])) is not None:
-                heapq.heappush(heap, (-self.scores[i], a, parts[a] + parts[b], b))
-
-        for k in range(len(parts) - 1):
-            offer(k, k + 1)
-        while heap:
-            _, a, joined, b = heapq.heappop(heap)
-            if parts[a] is None or parts[b] is None or parts[a] + parts[b] != joined or after[a] != b:
-                continue
-            parts[a], parts[b], after[a] = joined, None, after[b]
-            if after[b] >= 0:
-                before[after[b]] = a
-            offer(before[a], a)
-            offer(a, after[a])
-        return [self.ids[p] for p in parts if p is not None]
+        """Merging itself, best score and then leftmost first; only for pairs and pieces, which are
+        short: the scores of neighbours are held in a list."""
+        parts, get, none = list(text), self.merged.get, -math.inf
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) != none:
+            k = scores.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], none)
+        return [self.ids[p] for p in parts]
 
     def fits(self, a: int, b: int) -> bool:
-        key = (a, b)
-        out = self.pairs.get(key)
-        if out is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            out = self.pairs[key] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
+        """Whether merging the joint text of two pieces gives the two again; the answer is kept."""
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
+        out = self.pairs[a * self.size + b] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
         return out
 
     def backtrack(self, text: str) -> list[int]:
         """The encoding of a text all of whose characters are pieces."""
         whole = self.ids.get(text)
-        if whole is not None and whole in self.shorter:
+        if whole is not None and whole in self.reached:
             return [whole]
-        longest = [0] * len(text)
-        for end, (n, i) in self.automaton.iter(text):
-            longest[end - n + 1] = i  # ends ascend, so the last one that starts there is the longest
-        failed = bytearray(len(text) // 8 + 1)
+        n = len(text)
+        longest = [0] * n
+        for end, (size, i) in self.automaton.iter(text):
+            longest[end - size + 1] = i  # ends ascend, so the last one that starts there is the longest
+        known, length, shorter, base = self.pairs.get, self.length, self.shorter, self.size
+        failed: bytearray | None = None  # a bit for each position that no encoding of the rest can start from
         out: list[int] = []
-        at, n, length = 0, len(text), self.length
-        token: int | None = longest[0]
+        at, last, token = 0, -1, longest[0]
         while at < n:
-            while token is not None:
+            while token >= 0:
                 end = at + length[token]
-                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.fits(out[-1], token)):
-                    break
-                token = self.shorter[token]
-            if token is not None:
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    if last < 0:
+                        break
+                    fits = known(last * base + token)
+                    if fits or fits is None and self.fits(last, token):
+                        break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                at = end
-                token = longest[at] if at < n else None
+                at, last = end, token
+                token = longest[at] if at < n else 0
             else:
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
                 at -= length[token]
+                last = out[-1] if out else -1
         return out
 
     def encode_part(self, text: str) -> list[int]:
@@ -206,7 +207,7 @@ class Codec:
             text = "".join(out) + _utf8(run)
         # only a word mark gives way at the start, not the space of an unknown token or a byte
         first = next((i for i in ids.tolist() if i not in self.silent), self.bos)
-        return text[1:] if first in self.length and text[:1] == " " else text
+        return text[1:] if first in self.normal and text[:1] == " " else text
 
 
 def _utf8(run: bytearray) -> str:
