@@ -28,7 +28,9 @@ from tidemark.llm.ngrams import Hasher, calibrate, fold_of, labelled_sample, sam
 
 SAMPLE_ROWS, BITS, ORDER = 8000, 20, 2
 PATTERN = r"\w+|[^\w\s]+"
-COST, MIX, SMOOTH, FOLDS, ROUNDS = 1.0, 0.75, 1.0, 3, 60
+COST, MIX, SMOOTH, FOLDS = 1.0, 0.75, 1.0, 3
+#: rounds over the sample at most, and the gradient at which the solver ends
+ROUNDS, GAP = 30, 0.1
 RESULT = ("held_out", "score", "predicted")
 
 
@@ -40,7 +42,7 @@ def log_count_ratios(rows: list[np.ndarray], label: np.ndarray, size: int) -> np
     return np.log(p[1] / p[0])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, size: int, cost: float = COST, rounds: int = ROUNDS, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, size: int, cost: float = COST, rounds: int = ROUNDS, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the L2-regularised hinge-loss model, the last one the intercept, and the dual
     variables, each between 0 and its row's cost. Classes weigh the same in sum. Ends when no dual
     variable can improve by more than ``gap`` of its gradient."""
