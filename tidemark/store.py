@@ -101,6 +101,8 @@ class _Shared:
 
     def __init__(self):
         self.snapshots, self.writer, self.compactor = Registry(), threading.RLock(), threading.RLock()
+        #: held to pin a manifest, and to remove those that nobody pins
+        self.gate = threading.RLock()
         self.syncs = 0
 
 
@@ -121,7 +123,7 @@ class Snapshot:
 
     def __init__(self, store: Store):
         self._store = store
-        with store._shared.compactor:  # vacuum of this process holds it, so it cannot come between
+        with store._shared.gate:
             while True:
                 self.manifest = store.manifest()
                 self.seq = self.manifest.max_seq
@@ -528,7 +530,7 @@ class Store:
         or process needs, and leftovers of commits. What is younger than ``min_age`` seconds (the
         option ``vacuum_age``) stays, as its writer may be about to commit it."""
         min_age = self.options.vacuum_age if min_age is None else min_age
-        with self._writer, self._shared.compactor:
+        with self._writer, self._shared.compactor, self._shared.gate:
             leased = {v for v, _ in self.manifests.leases(self.options.lease_age)}
             live = self.snapshots.versions() | leased | {self.manifest().version}
             named: set[str] = set()
