@@ -64,7 +64,7 @@ def blocked(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     shift = max(0, bits - min(FIRST_BITS, (n // block_rows).bit_length()))
     # cuts: by so many bits of the id and of the tie left out
     cuts = [(s, TIE_BITS) for s in (*range(shift, 0, -MORE_BITS), 0)] + [(0, t) for t in range(TIE_BITS - MORE_BITS, -1, -MORE_BITS)]
-    cells = [F.struct(F.col("id").isNotNull().cast("int").alias("live"), _floor(F.coalesce("id", F.lit(0)), s).alias("id"), _floor(F.col("tie"), t).alias("tie")) for s, t in cuts]
+    cells = [F.struct(F.col("id").isNotNull().cast("int").alias("live"), _floor(F.coalesce("id", F.lit(0)), s).alias("id"), _floor(F.col("tie"), t if t < TIE_BITS else 64).alias("tie")) for s, t in cuts]
     out, narrow, held = df.withColumn("block", cells[0]), df.select("id", "tie"), None
     for cell, finer in zip(cells[:-1], cells[1:], strict=True):
         narrow = narrow.withColumn("cell", cell)
