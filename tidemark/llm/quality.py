@@ -55,7 +55,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], la
         largest = 0.0
         for i in rng.permutation(len(rows)).tolist():
             x, v, s = rows[i], values[i], sign[i]
-            gradient = s * (w[x] @ v + w[size]) - 1
+            gradient = s * (float((w[x] * v).sum()) + w[size]) - 1
             # what of it leads into the box
             if alpha[i] == 0:
                 gradient = min(gradient, 0.0)
