@@ -151,9 +151,9 @@ def sample_features(documents: DataFrame, sample: DataFrame, extract: Callable[[
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_label"), F.col("x")]
     made = texts.mapInArrow(run, extend(texts.select("doc_id", "_label").schema, {"x": "binary"})).orderBy(*order).limit(rows)
     so_far = F.sum(F.octet_length("x") + 64).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over ``rows`` rows
-    found = made.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).select("doc_id", "_label", "x").collect()
-    found.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    return np.array([r[1] for r in found], np.int64), [bytes(r[2]) for r in found]
+    found = made.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).select("doc_id", "_label", "x").toArrow().combine_chunks()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "_label", "x")), strict=True))
+    return np.array([label for _, label, _ in rows], np.int64), [x for _, _, x in rows]
 
 
 def scored(df: DataFrame, score: Callable[[str | None], float], keep: list[str], text: str = "text") -> DataFrame:

@@ -35,11 +35,11 @@ RESULT = ("held_out", "score", "predicted")
 
 
 def log_count_ratios(rows: list[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
-    counts = np.full((2, size), SMOOTH)
+    counts = np.full((2, size), SMOOTH, np.float32)
     for x, y in zip(rows, label, strict=True):
         counts[int(y), x] += 1
-    p = counts / counts.sum(1, keepdims=True)
-    return np.log(p[1] / p[0])
+    total = counts.sum(1, dtype=np.float64)
+    return np.log(counts[1] / counts[0]) + np.float32(np.log(total[0] / total[1]))
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, size: int, cost: float = COST, rounds: int = ROUNDS, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ class Model:
     """Weights per n-gram number; picklable and of fixed size."""
 
     def __init__(self, hasher: Hasher, ratio: np.ndarray, weight: np.ndarray, scale: float, shift: float):
-        self.hasher, self.ratio, self.scale, self.shift = hasher, ratio.astype(np.float32), scale, shift
+        self.hasher, self.ratio, self.scale, self.shift = hasher, ratio, scale, shift
         self.weight, self.intercept = weight[:-1].astype(np.float32), float(weight[-1])
 
     def margin(self, x: np.ndarray) -> float:
@@ -90,7 +90,7 @@ class Model:
 
 
 def _scaled(rows: list[np.ndarray], ratio: np.ndarray) -> list[np.ndarray]:
-    out, ratio = [], ratio.astype(np.float32)
+    out = []
     for x in rows:
         v = ratio[x]
         out.append(v / max(1e-12, float(np.sqrt(v @ v))))

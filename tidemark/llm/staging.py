@@ -6,6 +6,7 @@ random name, so concurrent runs do not meet, and is removed when the driver proc
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import threading
 import time
@@ -23,6 +24,7 @@ from tidemark.sources.shared import delete, fresh_folder
 
 _path_of: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _scopes = threading.local()
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: rows of an Arrow batch while a table is staged; executors and workers hold a batch at each end
 BATCH_ROWS = 2048
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -79,10 +81,13 @@ def release(spark: SparkSession) -> None:
     collected their handles, which takes a collection each for the plan and for what it held. In a
     local session, where nothing has to travel, one collection will do."""
     local = spark.sparkContext.master.split("[")[0] == "local"
+    pa.default_memory_pool().release_unused()
     for _ in range(1 if local else 3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0 if local else 0.25)
+    if _trim is not None:  # what this process has freed goes back to the system
+        _trim(0)
 
 
 def extend(schema: StructType, made: dict[str, str]) -> StructType:
