@@ -155,3 +155,33 @@ def test_odd_style_never_raises():
 def test_long_page():
     page = "<style>.x{display:none}</style>" + "<p class=x>no</p><p>word " * 40_000
     assert html_to_text(page).split() == ["word"] * 40_000
+
+
+def test_query_equals_a_plain_parser(spark, data):
+    """On the supplied pages, which hide nothing by style, the words are those outside of head, script
+    and style, in order."""
+    from html.parser import HTMLParser
+
+    from tidemark.llm import queries
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.words = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag in ("head", "script", "style")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag in ("head", "script", "style")
+
+        def handle_data(self, text):
+            if not self.inside:
+                self.words.append(text)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    for r in queries.op6_html_text(spark, data).collect():
+        plain = Plain()
+        plain.feed(pages[r.page_id] or "")
+        plain.close()
+        assert "".join("".join(line.removeprefix("- ").split()) for line in (r.text or "").split("\n") if line != "----") == "".join("".join(plain.words).split()), r.page_id
