@@ -7,21 +7,24 @@ for the positions that can matter, and buckets that are settled are never shippe
 1. *q-gram buckets.* In every window of ``LENGTH`` bytes the q-gram with the least hash is its
    anchor (the last one of equals), which depends on the window's bytes alone; equal windows have
    equal anchors at equal offsets. Consecutive windows with one anchor form a run, about 30
-   windows long. Runs are put in buckets by their anchor, over the whole corpus.
-2. *Settled runs.* Runs of one bucket whose whole context (all bytes of all their windows, and
-   the anchor's offset) is equal have equal windows throughout: all but the first are covered. If
-   a bucket has one context only, its first run has no earlier windows: it is settled as well.
-3. *Refinement.* First runs of buckets with several contexts are refined to full depth: in chunks
-   of documents, initial buckets of 8 bytes are refined by sorting on the pair of bucket
-   identifiers at an offset and a later one, and the updated identifiers are used again at twice
-   the depth: 8, 16, 32, 64, and 100 from two overlapping 64s. Windows that a chunk holds earlier
-   are covered; the first ones of each class meet those of other chunks by a 128-bit digest.
+   windows long. Runs are put in buckets by their anchor's identifier, over the whole corpus.
+2. *Refinement over the corpus.* Buckets are sorted by the identifiers of buckets at later offsets:
+   identifiers come by doubling, those of 32 bytes used again for those of 64, and three of these
+   cover the whole context of a run (all bytes of all its windows). Runs that stay in one bucket have
+   equal windows throughout: all but the first are covered. If a bucket was not divided, its first
+   run has no earlier windows: it is settled as well.
+3. *Refinement of what is left.* First runs of buckets that were divided are cut into parts, which go
+   through the same once more, and then to single windows, refined to full depth: in chunks of
+   documents, initial buckets of 8 bytes are refined by sorting on the pair of bucket identifiers at
+   an offset and a later one, and the updated identifiers are used again at twice the depth: 8, 16,
+   32, 64, and 100 from two overlapping 64s. Windows that a chunk holds earlier are covered; the
+   first ones of each class meet those of other chunks by a 128-bit digest.
 4. Covered spans are joined with the documents and cut out.
 
 Every shuffle is of runs or windows with fixed-width rows, sorted externally and read as a stream
 with constant state, so a bucket of any size passes through a task without being held. Runs that
 one task sees repeatedly are settled before the shuffle, so copies do not pile up on a bucket.
-Contexts are told apart by 128-bit digests within the bucket, windows by 128 bits.
+Contexts are told apart by identifiers or digests of 128 bits within the bucket, windows by 128 bits.
 
 Defined cases: null and empty texts, and texts shorter than ``LENGTH``, lose nothing; rows
 without doc_id, or sharing one, are put in an order of their own (nulls last, then by text) and
@@ -57,16 +60,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: two families of identifiers, told apart by their numbers for single bytes
+_BYTE = [_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` bytes from each position, by doubling."""
-    h, n = _BYTE[data], 1
-    while n < GRAM:
-        h = h[:-n] * np.uint64(0xD6E8FEB86659FD93 + 2 * n) + h[n:]
-        n *= 2
-    return _mixed(h)
+#: odd multipliers, one for each depth
+_PAIR = {1 << k: _mixed(np.array([k + 1], np.uint64) * np.uint64(0xD6E8FEB86659FD93))[0] | np.uint64(1) for k in range(8)}
+
+
+def identifiers(data: np.ndarray, length: int, family: int, held: np.ndarray | None = None, depth: int = 1) -> np.ndarray:
+    """Identifiers of the buckets of ``length`` bytes from each position, by doubling: a bucket of
+    twice the depth has the pair of identifiers at an offset and at a later one. ``held`` are those
+    of a smaller depth, which are used again."""
+    h = _BYTE[family][data] if held is None else held
+    while depth < length:
+        h = h[:-depth] * _PAIR[depth] + h[depth:]
+        depth *= 2
+    return h
 
 
 def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -77,26 +87,31 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - n)], v[width - n :]) if width > n else v
 
 
-def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of concatenated documents that end at ``ends``: bucket, anchor, first and last window of
-    each run. ``data`` has no more than ``CHUNK`` bytes."""
+def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of concatenated documents that end at ``ends``: bucket, identifiers of the context, anchor,
+    first and last window of each run. ``data`` has no more than ``CHUNK`` bytes."""
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return none.astype(np.uint64), none, none, none
-    hashes = gram_hashes(data)
+        return none.astype(np.uint64), none.astype(np.uint64).reshape(-1, 2), none, none, none
+    grams = identifiers(data, GRAM, 0)
+    hashes = _mixed(grams)
     order = (hashes & ~_LOW) | (_LOW - np.arange(len(hashes), dtype=np.uint64))
     least = sliding_least(order, LENGTH - GRAM + 1)
     inside = np.ones(len(least), bool)
     for e in ends[:-1].tolist():
         inside[max(0, e - LENGTH + 1) : e] = False
     starts = np.flatnonzero(inside)
-    if not len(starts):
-        return none.astype(np.uint64), none, none, none
     anchor = (_LOW - (least[starts] & _LOW)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    last = np.concatenate((first[1:], [len(starts)])) - 1
-    at = anchor[first]
-    return hashes[at], at, starts[first], starts[last]
+    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))) if len(starts) else none
+    last = np.append(first[1:], len(starts)) - 1 if len(starts) else none
+    at, first, last = anchor[first], starts[first], starts[last]
+    # buckets of twice the depth at the context's start, 64 bytes on and at its end cover all of it
+    double = [identifiers(data, 2 * GRAM, 0, grams, GRAM), identifiers(data, 2 * GRAM, 1)]
+    shape = ((last - first) << 8 | at - first).astype(np.uint64)
+    end = last + LENGTH - 2 * GRAM
+    later = np.minimum(first + 2 * GRAM, end)
+    context = [_mixed(d[first] + _mixed(d[later] + _mixed(d[end] + _mixed(shape)))) for d in double]
+    return hashes[at], np.stack(context, 1), at, first, last
 
 
 def chunks(docs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,9 +189,7 @@ def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = _Seen()
     docs = ((d, t or b"") for batch in pieces(batches) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     for data, ends, ids, offsets in chunks(docs):
-        k1, anchor, first, last = runs(np.frombuffer(data, np.uint8), ends)
-        # runs with equal bytes and anchors at equal offsets are equal; the offset is mixed in
-        k23 = _digests(data[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)) ^ _mixed((anchor - first).astype(np.uint64))[:, None]
+        k1, k23, anchor, first, last = runs(np.frombuffer(data, np.uint8), ends)
         piece = np.searchsorted(ends, first, side="right")
         shift = offsets[piece] - np.concatenate(([0], ends[:-1]))[piece]
         yield _rows(k1, k23, ids[piece], packed(first + shift, last + shift, anchor + shift), seen)
