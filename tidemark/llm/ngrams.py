@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,8 +139,8 @@ def labelled_sample(labels: DataFrame, label: str, fold: Column, rows: int) -> D
     return usable.select("doc_id", F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows)
 
 
-def sample_features(documents: DataFrame, sample: DataFrame, extract: Callable[[str | None], bytes], rows: int, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, list[bytes]]:
-    """Labels and features of the sample's documents, in the order of doc_id and features. Documents
+def sample_features(documents: DataFrame, sample: DataFrame, extract: Callable[[str | None], bytes], rows: int, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, list[memoryview]]:
+    """Labels and features of the sample's documents, in the order of doc_id, label and a digest. Documents
     may share a doc_id, so both bounds are taken again after the join, in the sample's order."""
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
@@ -151,9 +152,12 @@ def sample_features(documents: DataFrame, sample: DataFrame, extract: Callable[[
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_label"), F.col("x")]
     made = texts.mapInArrow(run, extend(texts.select("doc_id", "_label").schema, {"x": "binary"})).orderBy(*order).limit(rows)
     so_far = F.sum(F.octet_length("x") + 64).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over ``rows`` rows
-    found = made.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).select("doc_id", "_label", "x").toArrow().combine_chunks()
-    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "_label", "x")), strict=True))
-    return np.array([label for _, label, _ in rows], np.int64), [x for _, _, x in rows]
+    # in parts, so that no result is large
+    found = made.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).select("doc_id", "_label", "x").repartition(16).toArrow()
+    keys = list(zip(found.column("doc_id").to_pylist(), found.column("_label").to_pylist(), strict=True))
+    held = [memoryview(v.as_buffer()) for chunk in found.column("x").chunks for v in chunk]  # no copies
+    order = sorted(range(len(held)), key=lambda i: (*keys[i], xxhash.xxh3_128_digest(held[i])))
+    return np.array([keys[i][1] for i in order], np.int64), [held[i] for i in order]
 
 
 def scored(df: DataFrame, score: Callable[[str | None], float], keep: list[str], text: str = "text") -> DataFrame:

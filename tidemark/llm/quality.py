@@ -18,13 +18,14 @@ named like a result column are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ngrams import Hasher, calibrate, fold_of, labelled_sample, sample_features, scored, sigmoid
+from tidemark.llm.staging import trim
 
 SAMPLE_ROWS, BITS, ORDER = 8000, 20, 2
 PATTERN = r"\w+|[^\w\s]+"
@@ -42,7 +43,7 @@ def log_count_ratios(rows: list[np.ndarray], label: np.ndarray, size: int) -> np
     return np.log(counts[1] / counts[0]) + np.float32(np.log(total[0] / total[1]))
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, size: int, cost: float = COST, rounds: int = ROUNDS, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
+def dual_coordinate_descent(rows: list[np.ndarray], values: Sequence[np.ndarray], label: np.ndarray, size: int, cost: float = COST, rounds: int = ROUNDS, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the L2-regularised hinge-loss model, the last one the intercept, and the dual
     variables, each between 0 and its row's cost. Classes weigh the same in sum. Ends when no dual
     variable can improve by more than ``gap`` of its gradient."""
@@ -89,24 +90,30 @@ class Model:
         return float(sigmoid(self.scale * self.margin(self.hasher.features(text)) + self.shift))
 
 
-def _scaled(rows: list[np.ndarray], ratio: np.ndarray) -> list[np.ndarray]:
-    out = []
-    for x in rows:
-        v = ratio[x]
-        out.append(v / max(1e-12, float(np.sqrt(v @ v))))
-    return out
+class _Scaled:
+    """Rows' indicators times their class ratios, to unit length; made when asked for."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.rows, self.ratio = rows, ratio
+        self.scale = [1 / max(1e-12, float(np.sqrt(np.square(ratio[x]).sum()))) for x in rows]
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.ratio[self.rows[i]] * np.float32(self.scale[i])
 
 
 def _weights(rows: list[np.ndarray], label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     ratio = log_count_ratios(rows, label, size)
-    w, _ = dual_coordinate_descent(rows, _scaled(rows, ratio), label, size)
+    w, _ = dual_coordinate_descent(rows, _Scaled(rows, ratio), label, size)
     # towards a plain naive Bayes vote where the data say little about a weight
-    used = np.unique(np.concatenate(rows)) if rows else np.empty(0, int)
-    mean = np.abs(w[used]).mean() if len(used) else 0.0
-    mixed = MIX * w
-    mixed[used] += (1 - MIX) * mean
-    mixed[size] = w[size]
-    return ratio, mixed
+    used = np.zeros(size + 1, bool)
+    for x in rows:
+        used[x] = True
+    intercept, w[size] = w[size], 0.0
+    mean = np.abs(w).sum() / max(1, used.sum())
+    w *= MIX
+    w[used] += (1 - MIX) * mean
+    w[size] = intercept
+    return ratio, w
 
 
 def fit_model(rows: list[np.ndarray], label: np.ndarray) -> Callable[[str | None], float]:
@@ -127,7 +134,9 @@ def fit_model(rows: list[np.ndarray], label: np.ndarray) -> Callable[[str | None
 def fit(documents: DataFrame, labels: DataFrame, fold: Column, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Callable[[str | None], float]:
     hasher = Hasher(PATTERN, BITS, ORDER)
     y, rows = sample_features(documents, labelled_sample(labels, label, fold, sample_rows), lambda t: hasher.features(t).tobytes(), sample_rows)
-    return fit_model([np.frombuffer(r, np.int32) for r in rows], y)
+    score = fit_model([np.frombuffer(r, np.int32) for r in rows], y)
+    trim()
+    return score
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, keep: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -285,7 +285,8 @@ def shingle_sets(texts: Iterator[bytes | None], shingle: int = SIMILAR_SHINGLE)
 
 
 def shingle_counts(plain: DataFrame, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """How many documents hold a shingle of each cell, over all documents: ``CELLS`` numbers."""
+    """How many documents hold a shingle of each cell, over all documents: ``CELLS`` logarithms, six
+    to a power of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(CELLS, np.int64)
@@ -296,8 +297,8 @@ def shingle_counts(plain: DataFrame, shingle: int = SIMILAR_SHINGLE) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["at", "n"])
 
     found = plain.select("text").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
-    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    out = np.zeros(CELLS, np.uint8)
+    out[found.column("at").to_numpy()] = np.minimum(255, 6 * np.log2(found.column("n").to_numpy() + 1.0)).astype(np.uint8)
     return out
 
 

@@ -76,18 +76,23 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
             discard(t)
 
 
+def trim() -> None:
+    """What this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let shuffle files of finished jobs go. They stay on the executors until the driver's JVM has
     collected their handles, which takes a collection each for the plan and for what it held. In a
     local session, where nothing has to travel, one collection will do."""
     local = spark.sparkContext.master.split("[")[0] == "local"
-    pa.default_memory_pool().release_unused()
     for _ in range(1 if local else 3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0 if local else 0.25)
-    if _trim is not None:  # what this process has freed goes back to the system
-        _trim(0)
+    trim()
 
 
 def extend(schema: StructType, made: dict[str, str]) -> StructType:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ngrams import fold_of, labelled_sample, sample_features, scored, sigmoid
+from tidemark.llm.staging import trim
 
 SAMPLE_ROWS = 8000
 #: documents of the sample that a feature must be in, and weights of the two penalties
@@ -179,13 +180,13 @@ class Problem:
         return np.bincount(self.docs[1], gap[self.docs[0]], self.size) + RIDGE * w + SWAP / self.m * swapped, float(gap.sum())
 
 
-def fit_model(rows: list[bytes], label: np.ndarray, terms: Terms = IDENTITY) -> Callable[[str | None], float]:
+def fit_model(rows: list[bytes | memoryview], label: np.ndarray, terms: Terms = IDENTITY) -> Callable[[str | None], float]:
     """``rows`` as ``extracted`` gives them. The score's model is its ``__self__``."""
     if len(set(label.tolist())) < 2:
         rate = float(label.mean()) if len(label) else 0.5
         return lambda text: rate
     kinds = kinds_of(terms)
-    lines = [[line.split(" ") if line else [] for line in r.decode("utf-8", "surrogatepass").split("\n")] for r in rows]
+    lines = [[line.split(" ") if line else [] for line in bytes(r).decode("utf-8", "surrogatepass").split("\n")] for r in rows]
     documents = [x[0] for x in lines]
     pairs = [(words, other) for x in lines for words in x[1:] for other in swaps(words, kinds)]
     names = vocabulary(documents, label)
@@ -206,7 +207,9 @@ def fit_model(rows: list[bytes], label: np.ndarray, terms: Terms = IDENTITY) ->
 def fit(documents: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, terms: Terms = IDENTITY) -> Callable[[str | None], float]:
     kinds = kinds_of(terms)
     y, rows = sample_features(documents, labelled_sample(labels, label, fold, sample_rows), lambda t: extracted(t, kinds), sample_rows)
-    return fit_model(rows, y, terms)
+    score = fit_model(rows, y, terms)
+    trim()
+    return score
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, keep: list[str] | None = None, sample_rows: int = SAMPLE_ROWS, terms: Terms = IDENTITY) -> DataFrame:
