@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.staging import extend, pieces
+from tidemark.llm.staging import extend, pieces, trim
 
 MARK = "▁"
 #: parts longer than this are encoded but not kept, and so many parts are kept in a worker
@@ -258,5 +258,9 @@ def encode_documents(df: DataFrame, model: str, text: str = "text", keep: list[s
             if ids:
                 new += [pa.array([a for a, _ in texts], pa.list_(pa.int32())), pa.array([b for _, b in texts], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), *new], names=schema.names)
+        # the worker may go on with other work: it keeps the model and the pairs, not the parts
+        c.word.clear()
+        c.bare.clear()
+        trim()
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

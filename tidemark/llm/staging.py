@@ -106,11 +106,13 @@ PIECE_ROWS, PIECE_BYTES = 512, 4 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in slices of some rows, so that what is made of them as Python values stays small."""
+    """Batches in slices of some rows, so that what is made of them as Python values stays small. At
+    the end of a task its worker, which lives on, gives back what it has freed."""
     for batch in batches:
         rows = max(1, min(PIECE_ROWS, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trim()
 
 
 #: slots of filters: so many bits are broadcast at any size

@@ -251,7 +251,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.unique(np.concatenate([np.arange(r >> 14, (r >> 14) + (r >> 7 & 127) + 1) for r in unsettled]))
             held.append((doc, text, starts))
             size += len(text) + 8 * len(starts)
-            if size > 2 * CHUNK:
+            if size > CHUNK:
                 yield flush(held)
                 held, size = [], 0
     if held:
