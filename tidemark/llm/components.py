@@ -43,5 +43,5 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """Distinct edges, staged, and what tells two sets of them apart: count and two sums of hashes."""
     seen = Observation()
     sums = [F.coalesce(F.bit_xor(F.xxhash64(F.lit(seed), "u", "v")), F.lit(0)).alias(f"h{seed}") for seed in (1, 2)]
-    out = staged(edges.observe(seen, F.count(F.lit(1)).alias("n"), *sums), "edges")
+    out = staged(edges.observe(seen, F.count(F.lit(1)).alias("n"), *sums), "edges", narrow=True)
     return out, tuple(sorted(seen.get.items()))

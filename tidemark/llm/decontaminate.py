@@ -120,12 +120,12 @@ def found_windows(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
     counts = docs.select("text").mapInArrow(_counts(bits_of(shingles, "h"), widths), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     ranked = shingles.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     index = ranked.groupBy("words", "size").agg(F.min(F.struct("n", "h", "offset")).alias("least"))
-    index = staged(index.select("words", "size", F.col("least.h").alias("h"), F.col("least.offset").alias("offset")), "index")
+    index = staged(index.select("words", "size", F.col("least.h").alias("h"), F.col("least.offset").alias("offset")), "index", narrow=True)
     probes = docs.select("doc", "text").mapInArrow(_probes(bits_of(index, "h"), widths, window), "doc bigint, at int, low int, h bigint, around string")
     begin = F.col("at") - F.col("offset")
     here = F.array_join(F.slice(F.split("around", " "), begin - F.col("low") + 1, F.col("size")), " ")
     met = probes.join(index, "h").where((begin >= F.col("low")) & (begin >= 0)).where(here == F.col("words"))
-    met = staged(met.select("doc", begin.alias("begin"), "size", "words").distinct(), "met")
+    met = staged(met.select("doc", begin.alias("begin"), "size", "words").distinct(), "met", narrow=True)
     named = met.select("doc", "words").distinct().join(owned.where("item is not null").select("words", "item").distinct(), "words")
     spans = met.groupBy("doc").agg(F.collect_set(F.struct("begin", "size")).alias("spans"))
     return spans.join(named.groupBy("doc").agg(F.collect_set("item").alias("items")), "doc", "left")
@@ -147,7 +147,7 @@ def mark_windows(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     docs, key = keyed(documents, doc_id, "text")
     spans, items = unused(docs, "_spans", "_items")
     with scratch() as stays:
-        found = stays(staged(found_windows(docs.select(F.col(key).alias("doc"), "text"), benchmark, window).select(F.col("doc").alias(key), F.col("spans").alias(spans), F.col("items").alias(items)), "hits"))
+        found = stays(staged(found_windows(docs.select(F.col(key).alias("doc"), "text"), benchmark, window).select(F.col("doc").alias(key), F.col("spans").alias(spans), F.col("items").alias(items)), "hits", narrow=True))
     some, others = split(docs, found, key)
     held = list(dict.fromkeys([*keep, "text"]))
     rows = some.join(found, key, "left").select(*held, spans, items)

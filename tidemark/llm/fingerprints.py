@@ -69,7 +69,7 @@ def blocked(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     for cell, finer in zip(cells[:-1], cells[1:], strict=True):
         narrow = narrow.withColumn("cell", cell)
         heavy = narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("cell")
-        held = staged(heavy, "cells")
+        held = staged(heavy, "cells", narrow=True)
         if held.isEmpty():
             return out
         narrow = narrow.join(F.broadcast(held), "cell", "left_semi").drop("cell")
@@ -132,7 +132,7 @@ def _forms(base: DataFrame, made: DataFrame, digest) -> DataFrame:
     sources = made.select("fingerprint", "row", none.alias("next_row")).union(edits)
     mark = F.xxhash64("row", "next_row")
     several = sources.groupBy("fingerprint").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y").select("fingerprint")
-    members = staged(sources.join(several, "fingerprint").distinct(), "members")
+    members = staged(sources.join(several, "fingerprint").distinct(), "members", narrow=True)
     texts = base.select(F.xxhash64("id", "text").alias("row"), "text")
     whole = only(texts, members.where("next_row is null").select("row"), "row").select(none.alias("next_row"), "row", canonical(F.col("text")).alias("canon"))
     edits = members.where("next_row is not null")
@@ -150,7 +150,7 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
     # frames of the text shuffle are gone now, so its files can go
     release(made.sparkSession)
     forms = _forms(base, made, digest)
-    mixed = staged(forms.groupBy("fingerprint").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("fingerprint"), "mixed-buckets")
+    mixed = staged(forms.groupBy("fingerprint").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("fingerprint"), "mixed-buckets", narrow=True)
     if not mixed.isEmpty():
         forms = staged(forms.join(mixed, "fingerprint"), "forms")
         rank = F.dense_rank().over(Window.partitionBy("fingerprint").orderBy("canon"))

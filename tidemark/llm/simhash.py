@@ -234,7 +234,7 @@ def links(classes: DataFrame, bits: int = BITS, local: int = LOCAL_LIST) -> Data
     """``classes`` has one row per distinct fingerprint, ``_fp`` and its least document ``rep``.
     Gives pairs ``a, b`` of such documents, all within ``bits``, that tie together all that is."""
     with scratch() as keep:
-        return keep(staged(_links(classes, bits, local).distinct(), "links"))
+        return keep(staged(_links(classes, bits, local).distinct(), "links", narrow=True))
 
 
 def _links(classes: DataFrame, bits: int, local: int) -> DataFrame:
@@ -267,7 +267,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", b
         parts = connected_components(links(classes.where("rep is not null"), bits, local))
         named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("_fp", F.coalesce("component", "rep").alias("component_id"))
         out = prints.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
-        return keep(staged(out, "near-duplicates"))
+        return keep(staged(out, "near-duplicates", narrow=True))
 
 
 # -- groups by similarity of shingle sets ------------------------------------------------------------
@@ -333,7 +333,7 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     """One row ``doc_id, component_id`` for each row of ``df``: texts whose sets of shingles have
     at least this similarity are in one component, named by its least doc_id."""
     with scratch() as keep:
-        return keep(staged(_groups(df, text, doc_id, similarity, shingle, local), "groups"))
+        return keep(staged(_groups(df, text, doc_id, similarity, shingle, local), "groups", narrow=True))
 
 
 def _groups(df: DataFrame, text: str, doc_id: str, similarity: float, shingle: int, local: int) -> DataFrame:
@@ -341,7 +341,7 @@ def _groups(df: DataFrame, text: str, doc_id: str, similarity: float, shingle: i
     plain = df.select(integer(df, doc_id).alias("doc_id"), F.col(text).alias("text"))
     made = "doc_id bigint, _fp bigint, digest binary, n int, bits array<bigint>, prefix array<bigint>"
     prints = staged(plain.mapInArrow(_sets(shingle_counts(plain, shingle), similarity, shingle), made), "fingerprints")
-    classes = staged(prints.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = staged(prints.join(classes.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "_fp", "n", "bits", "prefix"), "members")
     # SimHash links, and classes of one fingerprint
     fps = members.groupBy("_fp").agg(F.min("rep").alias("rep"))
@@ -372,7 +372,7 @@ def apart(parted: DataFrame, similarity: float) -> DataFrame:
     no similar pair is lost: a set of ``n`` shares at most the ``n - at`` from the key on, and sets
     differ in at least as many members as they have unlike parities."""
     with scratch() as keep:
-        return keep(staged(_apart(parted, similarity), "apart"))
+        return keep(staged(_apart(parted, similarity), "apart", narrow=True))
 
 
 def _apart(parted: DataFrame, similarity: float) -> DataFrame:
@@ -396,7 +396,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int
     """Those of ``pairs`` whose texts' shingle sets have at least this Jaccard similarity. Only
     documents of a pair are hashed; their sets travel once per pair that ``MARKS`` parities allow."""
     with scratch() as keep:
-        return keep(staged(_verified(docs, pairs, similarity, shingle), "verified"))
+        return keep(staged(_verified(docs, pairs, similarity, shingle), "verified", narrow=True))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -407,14 +407,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, longs), pa.array([_parities(h, MARKS) for h in sets], longs)], names=["doc_id", "grams", "marks"])
 
-    pairs = staged(pairs, "candidates")
+    pairs = staged(pairs, "candidates", narrow=True)
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = staged(only(docs.select("doc_id", "text"), named, "doc_id").mapInArrow(run, "doc_id bigint, grams array<bigint>, marks array<bigint>"), "shingles")
     size = sets.select("doc_id", F.size("grams").alias("n"), "marks")
     a, b = (size.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}n"), F.col("marks").alias(f"{c}marks")) for c in "ab")
     unlike = F.aggregate(F.zip_with("amarks", "bmarks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
     bound = (F.col("an") + F.col("bn")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
-    pairs = staged(pairs.join(a, "a").join(b, "b").where(unlike <= bound).select("a", "b"), "candidates")
+    pairs = pairs.join(a, "a").join(b, "b").where(unlike <= bound).select("a", "b")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - F.lit(1e-9)).select("a", "b")

@@ -30,9 +30,16 @@ BATCH_ROWS = 2048
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; its lineage ends there."""
+#: files for each core that a table of narrow rows is written to, at most
+FILES = 4
+
+
+def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; its lineage ends there. Tables of narrow
+    rows, such as pairs, are written to a few files a core, not to as many as there are partitions:
+    each file costs the file system and the processes that write it."""
     spark = df.sparkSession
+    df = df.coalesce(FILES * spark.sparkContext.defaultParallelism) if narrow else df
     path = fresh_folder(spark, name)
     rows = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS)

@@ -77,7 +77,7 @@ def expressions(host: Column, path: Column, shapes: Sequence[tuple[int, Sequence
 def filter_urls(df: DataFrame, rules: DataFrame | Sequence[tuple[str, str]], url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` and ``verdict`` of its ``url`` column. ``rules`` has
     columns ``verdict`` and ``rule``, or is a short list of such pairs."""
-    table = staged(rule_table(rules if isinstance(rules, DataFrame) else listed(df.sparkSession, rules)), "rules")
+    table = staged(rule_table(rules if isinstance(rules, DataFrame) else listed(df.sparkSession, rules)), "rules", narrow=True)
     # as many rows as label counts, with the path lengths that go with them: bounded by a rule's length
     shapes = [(r.labels, sorted(r.lengths)) for r in table.groupBy("labels").agg(F.collect_set("length").alias("lengths")).orderBy("labels").collect()]
     short = table.count() <= BROADCAST_RULES
