@@ -44,7 +44,8 @@ def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     rows = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS)
     try:
-        df.write.parquet(path)
+        # nobody but this call's reader looks for a marker of success
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     finally:
         spark.conf.set(_BATCH, rows)
     out = spark.read.schema(df.schema).parquet(path)
