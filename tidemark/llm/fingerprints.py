@@ -69,9 +69,9 @@ def blocked(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     for cell, finer in zip(cells[:-1], cells[1:], strict=True):
         narrow = narrow.withColumn("cell", cell)
         heavy = narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("cell")
-        held = staged(heavy, "cells", narrow=True)
-        if held.isEmpty():
+        if heavy.isEmpty():
             return out
+        held = staged(heavy, "cells", narrow=True)
         narrow = narrow.join(F.broadcast(held), "cell", "left_semi").drop("cell")
         out = out.withColumn("cell", cell).join(F.broadcast(held.withColumn("cut", F.lit(True))), "cell", "left")
         out = out.withColumn("block", F.when(F.col("cut"), finer).otherwise(F.col("block"))).drop("cell", "cut")
@@ -150,8 +150,9 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
     # frames of the text shuffle are gone now, so its files can go
     release(made.sparkSession)
     forms = _forms(base, made, digest)
-    mixed = staged(forms.groupBy("fingerprint").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("fingerprint"), "mixed-buckets", narrow=True)
+    mixed = forms.groupBy("fingerprint").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("fingerprint")
     if not mixed.isEmpty():
+        mixed = staged(mixed, "mixed-buckets", narrow=True)
         forms = staged(forms.join(mixed, "fingerprint"), "forms")
         rank = F.dense_rank().over(Window.partitionBy("fingerprint").orderBy("canon"))
         ranks = forms.select("fingerprint", "canon").distinct().withColumn("rank", rank).where("rank > 1")
