@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm.staging import extend, pieces, trim
 
 MARK = "▁"
-#: parts longer than this are encoded but not kept, and so many parts are kept in a worker
-PART_CHARS, PARTS_KEPT, PAIRS_KEPT = 48, 150_000, 300_000
+#: parts longer than this are encoded but not kept, and so many parts are kept during a task
+PART_CHARS, PARTS_KEPT, PAIRS_KEPT = 48, 300_000, 300_000
 NORMAL, BYTE = 1, 6
 RESULT = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
