@@ -645,6 +645,30 @@ def test_similar_groups_with_common_shingles(spark, local):
     assert got == _groups_of(_similar(rows), [d for d, _ in rows])
 
 
+def test_similar_groups_of_many_near_copies(spark, monkeypatch):
+    """Copies of one text with a word changed, none of which SimHash ties here: candidates are in
+    proportion to the copies, not to their pairs, and the groups are still those of all pairs."""
+    rng = np.random.default_rng(25)
+    base, seen, plain = [f"w{i}" for i in range(150)], [], simhash.staged
+
+    def staged(df, name, **how):
+        out = plain(df, name, **how)
+        seen.extend([out.count()] if name == "apart" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "staged", staged)
+    monkeypatch.setattr(simhash, "links", lambda classes, **how: spark.createDataFrame([], "a bigint, b bigint"))
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.choice(150, 1, replace=False):
+            copy[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _groups_of(_similar(rows), [d for d, _ in rows])
+    assert sum(seen) < 80 * len(rows), seen
+
+
 def test_similar_groups_of_the_table_are_exact(spark, data, docs):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.read.parquet(f"{data}/documents.parquet")).collect()}
     want = _groups_of(_similar(docs), [d for d, _ in docs])

@@ -17,7 +17,7 @@ to its values and tied to the least document near there - linear in the list, an
 ever streamed through one task but in pieces of ``LOCAL_LIST``, and no case is left out at any size.
 
 ``similar_groups`` is for groups by similarity: texts whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more are in one component. It is exact and has three steps.
+Jaccard similarity of 0.8 or more are in one component. It is exact and has four steps.
 
 1. Texts with equal sets are one class. SimHash links (as above) of classes are verified on the
    sets themselves; they tie most of what is close.
@@ -25,7 +25,14 @@ Jaccard similarity of 0.8 or more are in one component. It is exact and has thre
    of their first ``n - ceil(0.8 n) + 1``. Pairs that do and lie in different components so far are
    candidates, unless positions, sizes or parities of the sets rule them out for certain. Only rows
    outside a list's largest component look for partners, so a large component costs nothing.
-3. One candidate of each two components is verified, then all that still lie apart.
+3. A large group of near copies is many components at first, of which all pairs would be candidates.
+   So long lists are dealt into cells of about ``DEALT`` rows by a hash, anew in each round, and only
+   candidates of one cell are verified, a number in proportion to the list; what they tie is one
+   component from then on. Rounds go on while each at least halves the rows of long lists that are
+   outside the largest component. They leave nothing out: the next step looks at whole lists.
+4. Of all candidates that lie apart then, one of each two components is verified, then all that still
+   lie apart. Sets close to each other but below the similarity stay apart in all rounds, and all
+   pairs of those that the bounds allow are candidates here.
 
 The order comes from how many documents hold a shingle, counted over all of them in ``CELLS`` cells
 by hash; any order is exact, and this one keeps lists short.
@@ -60,6 +67,8 @@ LOCAL_LIST = 4096
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: places, a multiple of 64, whose parities bound how much two sets differ: in lists, and of pairs
 PARITIES, MARKS = 512, 4096
+#: rows of a cell, on average, of long lists while parts are merged
+DEALT = 8
 #: cells by hash in which documents that hold a shingle are counted
 CELLS = 1 << 18
 _BLOCK, _SHORT = 512, 32
@@ -350,12 +359,17 @@ def _groups(df: DataFrame, text: str, doc_id: str, similarity: float, shingle: i
     release(spark)
     part = connected_components(close)
     parted = members.join(part, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("part"), "n", "bits", "prefix")
-    pairs = apart(parted, similarity)
+    lists = staged(_mixed(parted), "mixed")
     discard(members)
     release(spark)
+    found, tied = _merged(plain, lists, similarity, shingle)
+    if found is not None:
+        close, lists = close.union(found), _renamed(lists, connected_components(tied))
+        release(spark)
+    pairs = apart(lists.join(_sizes(lists).select("key", "most"), "key"), similarity)
+    release(spark)
     # one pair of each two components first; what then still lies apart is verified in full
-    first = pairs.groupBy("apart", "bpart").agg(F.min_by(F.struct("a", "b"), F.struct("unlike", "a", "b")).alias("p")).select("p.*")
-    close = close.union(verified(plain, first, similarity, shingle))
+    close = close.union(verified(plain, _firsts(pairs).select("a", "b"), similarity, shingle))
     part = connected_components(close)
     for side in "ab":
         now = part.select(F.col("node").alias(side), F.col("component").alias(f"{side}now"))
@@ -366,27 +380,71 @@ def _groups(df: DataFrame, text: str, doc_id: str, similarity: float, shingle: i
     return prints.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 
 
-def apart(parted: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs ``a, b`` that share a key of their prefixes, are of different ``part`` and can
-    be that similar, with both parts and the number of unlike parities. Both tests are bounds, so
-    no similar pair is lost: a set of ``n`` shares at most the ``n - at`` from the key on, and sets
-    differ in at least as many members as they have unlike parities."""
+def _mixed(parted: DataFrame) -> DataFrame:
+    """Rows ``key, rep, at, part, n, bits`` of those lists that are not of one part."""
+    parts = parted.select("part", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"))
+    posted = parted.select("rep", F.posexplode("prefix").alias("at", "key")).join(parts.where("x <> y").select("key"), "key")
+    return posted.join(parted.select("rep", "part", "n", "bits"), "rep")
+
+
+def _sizes(lists: DataFrame) -> DataFrame:
+    """Of each list that is not of one part: the part that has most of it, its rows and those of
+    other parts."""
+    sizes = lists.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("rows"))
+    return sizes.select("key", F.col("m.part").alias("most"), "rows", (F.col("rows") - F.col("m.c")).alias("others")).where("others > 0")
+
+
+def _renamed(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """``lists`` with the components of parts for parts."""
+    joined = lists.join(parts, F.col("part") == F.col("node"), "left")
+    return joined.withColumn("part", F.coalesce("component", "part")).drop("node", "component")
+
+
+def _firsts(pairs: DataFrame) -> DataFrame:
+    """The pair with the fewest unlike parities of each two parts."""
+    least = F.min_by(F.struct("a", "b"), F.struct("unlike", "a", "b")).alias("p")
+    return pairs.groupBy("apart", "bpart").agg(least).select("apart", "bpart", "p.a", "p.b")
+
+
+def _merged(plain: DataFrame, lists: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rounds over the long ones of ``lists``. Similar pairs ``a, b``, and the parts that these tie
+    together as ``a, b``; none if no list is long."""
+    rows, found, tied, left, turn = lists, None, None, math.inf, 0
+    while True:
+        sizes = staged(_sizes(rows).where(F.col("others") > DEALT), "sizes", narrow=True)
+        now = sizes.agg(F.sum("others")).first()[0] or 0
+        if not now or 2 * now > left:
+            return found, tied
+        held = staged(rows.join(sizes.select("key", "most", "rows"), "key"), "long")
+        cell = F.pmod(F.xxhash64(F.lit(turn), "key", "rep"), F.ceil(F.col("rows") / DEALT))
+        first = staged(_firsts(apart(held.withColumn("cell", cell), similarity, "cell")), "firsts", narrow=True)
+        similar = verified(plain, first.select("a", "b"), similarity, shingle)
+        ties = staged(first.join(similar, ["a", "b"]).select(F.col("apart").alias("a"), F.col("bpart").alias("b")), "ties", narrow=True)
+        found, tied = (similar, ties) if found is None else (found.union(similar), tied.union(ties))
+        rows = _renamed(held.drop("most", "rows"), connected_components(ties))
+        left, turn = now, turn + 1
+        release(plain.sparkSession)
+
+
+def apart(lists: DataFrame, similarity: float, *within: str) -> DataFrame:
+    """Distinct pairs ``a, b`` that share a list, and what else ``within`` names, are of different
+    ``part`` and can be that similar, with both parts and the number of unlike parities. Both tests
+    are bounds, so no similar pair is lost: a set of ``n`` shares at most the ``n - at`` from the key
+    on, and sets differ in at least as many members as they have unlike parities. ``lists`` has the
+    part that has most of a list as ``most``: of each pair of parts, one is another."""
     with scratch() as keep:
-        return keep(staged(_apart(parted, similarity), "apart", narrow=True))
+        return keep(staged(_apart(lists, similarity, *within), "apart", narrow=True))
 
 
-def _apart(parted: DataFrame, similarity: float) -> DataFrame:
-    parts = parted.select("part", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"))
-    posted = parted.select("rep", F.posexplode("prefix").alias("at", "key")).join(parts.where("x <> y").select("key"), "key")
-    lists = staged(posted.join(parted.select("rep", "part", "n", "bits"), "rep"), "mixed")
-    # the part that has most of a list: of each pair of parts, one is another
-    sizes = lists.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "part")).alias("m"))
-    lists = lists.join(sizes.select("key", F.col("m.part").alias("most")), "key")
-    x, y = (lists.select("key", *(F.col(c).alias(side + c) for c in ("rep", "part", "n", "at", "bits", "most"))) for side in "xy")
+def _apart(lists: DataFrame, similarity: float, *within: str) -> DataFrame:
+    on = ["key", *within]
+    x, y = (lists.select(*on, *(F.col(c).alias(side + c) for c in ("rep", "part", "n", "at", "bits", "most"))) for side in "xy")
     need = (F.col("xn") + F.col("yn")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
     room = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))
     unlike = sum((F.bit_count(F.col("xbits")[i].bitwiseXOR(F.col("ybits")[i])) for i in range(PARITIES // 64)), F.lit(0))
-    both = x.where("xpart <> xmost").join(y, "key").where((F.col("xpart") != F.col("ypart")) & (room >= need))
+    once = (F.col("ypart") == F.col("ymost")) | (F.col("xpart") < F.col("ypart"))
+    both = x.where("xpart <> xmost").join(y, on).where(once & (room >= need))
     both = both.where(unlike <= F.col("xn") + F.col("yn") - 2 * need).withColumn("unlike", unlike)
     sides = [F.struct(F.col(f"{s}rep").alias("rep"), F.col(f"{s}part").alias("part")) for s in "xy"]
     return both.select(F.greatest(*sides).alias("u"), F.least(*sides).alias("v"), "unlike").select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b"), F.col("u.part").alias("apart"), F.col("v.part").alias("bpart"), "unlike").distinct()
